@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unbrev.catalog import corpus, retrieval
+from unbrev.catalog import corpus, ranking, retrieval
 
-_PARTS = (corpus, retrieval)
+_PARTS = (corpus, retrieval, ranking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,9 +30,12 @@ def base_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shorthand(word: Column) -> Column:
-    """First letter, then the skeleton of the rest."""
-    rest = tx.skeleton(F.substring(word, F.lit(2), F.length(word)), P)
-    return F.concat(F.left(word, F.lit(1)), rest)
+    """First letter, the skeleton of the rest, and a known ending kept whole."""
+    ending = tx.known_ending(word, P)
+    long_enough = F.length(word) > F.length(ending) + 1
+    kept = F.coalesce(F.when(long_enough, ending), F.lit(""))
+    middle = F.substring(word, F.lit(2), F.length(word) - 1 - F.length(kept))
+    return F.concat(F.left(word, F.lit(1)), tx.skeleton(middle, P), kept)
 
 
 def shorthand_queries(

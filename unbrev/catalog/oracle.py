@@ -56,8 +56,9 @@ def lex(min_count: int = LEXICON_MIN_COUNT) -> list[tuple[str, str]]:
 
 
 def shorthand(x: str) -> str:
-    rest = skel(f"substr({x}, 2)")
-    return f"left({x}, 1) || {rest}"
+    kept = f"coalesce(CASE WHEN length({x}) > length({ending(x)}) + 1 THEN {ending(x)} END, '')"
+    middle = skel(f"substr({x}, 2, length({x}) - 1 - length({kept}))")
+    return f"left({x}, 1) || {middle} || {kept}"
 
 
 PLAIN = f"^([{P.letter_class}]+(-[{P.letter_class}]+)*)?$"
