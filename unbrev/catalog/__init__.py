@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unbrev.catalog import corpus, ranking, retrieval
+from unbrev.catalog import corpus, evaluation, history, lexicons, ranking, retrieval, sessions
 
-_PARTS = (corpus, retrieval, ranking)
+_PARTS = (corpus, lexicons, retrieval, ranking, sessions, history, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,15 +9,20 @@ from unbrev.functions import text as tx
 from unbrev.operators.blocked import running_total
 from unbrev.plans import corpus, lexicon
 from unbrev.profile import LATIN
-from unbrev.session import tune
+from unbrev.session import settle, tune
+from unbrev.sources.tables import spread_small
 
 P = LATIN
 LEXICON_MIN_COUNT = 3
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text tables are spread over the cores if need be."""
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if name in TEXT_TABLES else rows
 
 
 def word_counts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -114,18 +119,20 @@ def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"),
         "turn",
-        tx.tokens_with_context(F.col("text"), P).alias("words"),
+        tx.words_in(F.col("text"), P).alias("words"),
     )
     counted = turns.withColumn("n", F.size("words").cast("bigint"))
     ended = running_total(
         counted, ["session_id"], [F.floor(F.col("turn") / 4096)], [F.col("turn")], F.col("n"), "end"
     )
-    return ended.select(
-        "session_id", (F.col("end") - F.col("n")).alias("before"), F.explode("words").alias("w")
-    ).select(
+    words = ended.select(
         "session_id",
-        (F.col("before") + F.col("w.pos")).alias("pos"),
-        F.col("w.token").alias("word"),
+        (F.col("end") - F.col("n")).alias("before"),
+        F.posexplode("words").alias("p", "word"),
+    )
+    # The session jobs read the stream several times.
+    return settle(
+        words.select("session_id", (F.col("before") + F.col("p") + 1).alias("pos"), "word")
     )
 
 

@@ -19,6 +19,7 @@ from unbrev.settings import EditCosts, Settings
 
 _ASTRAL = 0x10000
 _BLOCK = 2048
+Codes = tuple[np.ndarray, np.ndarray]  # code points by row, word lengths
 
 
 def cutoff(input_norm: Column, settings: Settings) -> Column:
@@ -83,19 +84,20 @@ def _char_tables(profile: Profile, costs: EditCosts) -> tuple[np.ndarray, ...]:
     return slot, insert, swap
 
 
-def _code_points(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _code_points(words: pd.Series) -> Codes:
     flat = words.to_numpy(dtype=str)
     width = max(flat.dtype.itemsize // 4, 1)
     codes = flat.view(np.uint32).reshape(len(flat), width)
     return codes, (codes != 0).sum(axis=1)
 
 
+
+
 def pair_distances(
-    inputs: pd.Series, forms: pd.Series, tables: tuple[np.ndarray, ...], costs: EditCosts
+    inputs: Codes, forms: Codes, tables: tuple[np.ndarray, ...], costs: EditCosts
 ) -> np.ndarray:
     """Distances of aligned word pairs, a few thousand pairs at a time."""
-    a, n = _code_points(inputs)
-    b, m = _code_points(forms)
+    (a, n), (b, m) = inputs, forms
     parts = [
         _distance_block(
             *_cut(a[i : i + _BLOCK], n[i : i + _BLOCK]),
@@ -157,9 +159,8 @@ def _distance_block(
     return out
 
 
-def _shared_prefix(x: pd.Series, y: pd.Series) -> np.ndarray:
-    a, n = _code_points(x)
-    b, m = _code_points(y)
+def _shared_prefix(x: Codes, y: Codes) -> np.ndarray:
+    (a, n), (b, m) = x, y
     width = min(a.shape[1], b.shape[1])
     same = np.logical_and.accumulate(a[:, :width] == b[:, :width], axis=1).sum(axis=1)
     return np.minimum(same, np.minimum(n, m))
@@ -184,20 +185,24 @@ def compare_udf(profile: Profile, settings: Settings = Settings()):
     def compare(
         inputs: pd.Series, forms: pd.Series, in_skels: pd.Series, form_skels: pd.Series
     ) -> pd.DataFrame:
-        n = inputs.str.len().to_numpy()
+        typed, form = _code_points(inputs), _code_points(forms)
+        typed_skel, form_skel = _code_points(in_skels), _code_points(form_skels)
+        n = typed[1]
         limit = settings.cutoff_base + settings.cutoff_per_char * n
-        out = np.full(len(inputs), TOO_FAR, dtype=np.int32)
-        near = np.arange(len(inputs))
+        out = np.full(len(n), TOO_FAR, dtype=np.int32)
+        near = np.arange(len(n))
         if bounded:
-            sizes = (n, *(w.str.len().to_numpy() for w in (in_skels, forms, form_skels)))
-            near = np.nonzero(length_bound(*sizes, costs) <= limit)[0]
-        found = pair_distances(inputs.iloc[near], forms.iloc[near], tables, costs)
+            bound = length_bound(n, typed_skel[1], form[1], form_skel[1], costs)
+            near = np.nonzero(bound <= limit)[0]
+        found = pair_distances(
+            (typed[0][near], n[near]), (form[0][near], form[1][near]), tables, costs
+        )
         out[near] = np.where(found <= limit[near], found, TOO_FAR)
         return pd.DataFrame(
             {
                 "distance": out,
-                "prefix": _shared_prefix(inputs, forms),
-                "skel_prefix": _shared_prefix(in_skels, form_skels),
+                "prefix": _shared_prefix(typed, form),
+                "skel_prefix": _shared_prefix(typed_skel, form_skel),
             }
         )
 
@@ -221,7 +226,9 @@ def distance_udf(profile: Profile, costs: EditCosts = EditCosts()):
 
     @F.pandas_udf(T.IntegerType())
     def distance(inputs: pd.Series, forms: pd.Series) -> pd.Series:
-        return pd.Series(pair_distances(inputs, forms, tables, costs))
+        return pd.Series(
+            pair_distances(_code_points(inputs), _code_points(forms), tables, costs)
+        )
 
     return distance
 

@@ -71,10 +71,15 @@ def recency_prior(
 
 
 def register(score: Column, mass: Column) -> Column:
-    """Polite, neutral or crude, from decayed marker sums."""
-    tone = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / mass))
+    """Polite, neutral or crude, from decayed marker sums.
+
+    Compared at the precision of scores, so that a mass that has decayed to
+    exactly the limit counts as reaching it.
+    """
+    weight = F.round(F.coalesce(mass, F.lit(0.0)), SCORE_DIGITS)
+    tone = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / mass)), SCORE_DIGITS)
     return (
-        F.when(F.coalesce(mass, F.lit(0.0)) < REGISTER_MIN_MASS, "neutral")
+        F.when(weight < REGISTER_MIN_MASS, "neutral")
         .when(tone > REGISTER_THRESHOLD, "polite")
         .when(tone < -REGISTER_THRESHOLD, "crude")
         .otherwise("neutral")

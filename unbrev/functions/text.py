@@ -208,11 +208,15 @@ def trailing_token(text: Column, profile: Profile) -> Column:
     return F.regexp_extract(text, f"[{profile.raw_letter_class}-]*$", 0)
 
 
+def words_in(text: Column, profile: Profile) -> Column:
+    """All runs of letters and hyphens of a text, as written."""
+    runs = F.split(text, f"[^{profile.raw_letter_class}-]+")
+    return F.filter(runs, lambda w: w != "")
+
+
 def previous_words(prefix: Column, profile: Profile, limit: int = 3) -> Column:
     """Up to ``limit`` last words of the text before a token."""
-    words = F.filter(
-        F.split(prefix, f"[^{profile.raw_letter_class}-]+"), lambda w: w != ""
-    )
+    words = words_in(prefix, profile)
     return F.slice(
         words,
         F.greatest(F.size(words) - limit + 1, F.lit(1)),
@@ -224,20 +228,23 @@ def tokens_with_context(text: Column, profile: Profile, limit: int = 3) -> Colum
     """All words of a text with the words before each of them.
 
     Returns ``array<struct<pos, token, context>>``; ``pos`` counts from 1.
+    The words before come from shifted copies of the list, so the work grows
+    with the text, not with its square.
     """
-    words = F.filter(
-        F.split(text, f"[^{profile.raw_letter_class}-]+"), lambda w: w != ""
-    )
+    words = words_in(text, profile)
+    gap = F.array(F.lit(None).cast("string"))
+
+    def shifted(k: int) -> Column:
+        return F.concat(*[gap] * k, words).alias(f"p{k}")
+
+    names = [f"p{k}" for k in range(limit, 0, -1)]
+    zipped = F.arrays_zip(words.alias("token"), *[shifted(k) for k in range(1, limit + 1)])
     return F.transform(
-        words,
-        lambda w, i: F.struct(
+        F.filter(zipped, lambda z: z["token"].isNotNull()),
+        lambda z, i: F.struct(
             (i + 1).alias("pos"),
-            w.alias("token"),
-            F.slice(
-                words,
-                F.greatest(i - limit + 1, F.lit(1)),
-                F.least(i, F.lit(limit)),
-            ).alias("context"),
+            z["token"].alias("token"),
+            F.array_compact(F.array(*[z[n] for n in names])).alias("context"),
         ),
     )
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from unbrev.operators import retrieve as rt
 from unbrev.operators.lexicons import lexicon_block, lexicon_order, with_keys
 from unbrev.plans import expand as ex
 from unbrev.profile import Profile
+from unbrev.session import settle
 from unbrev.settings import (
     ADOPT_MARGIN,
     RECENCY_HALF_LIFE,
@@ -119,11 +121,21 @@ def metrics(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def with_static(
+    queries: DataFrame, known: ex.Knowledge, profile: Profile, settings: Settings
+) -> ex.Knowledge:
+    """Work the candidates out once, for jobs that rank them several times."""
+    prepared = ex.prepare_queries(queries, profile)
+    found = ex.static_candidates(prepared, known, profile, settings)
+    return replace(known, static=settle(found))
+
+
 def evaluate(
     cases: DataFrame, known: ex.Knowledge, profile: Profile, settings: Settings = Settings()
 ) -> DataFrame:
     """Outcome row per case; feed it to :func:`metrics`."""
     queries = as_queries(cases)
+    known = with_static(queries, known, profile, settings)
     flat = ex.expand_tokens(queries, known, profile, settings, FLAT_K)
     groups = ex.expand_tokens_grouped(queries, known, profile, settings, GROUPS)
     forms = ex.forms_of_lemma(known.lexicon, profile, known.paradigms)
@@ -344,6 +356,7 @@ def sweep_recency(
     recency of 1 to that word.  Compares surface forms.
     """
     queries = as_queries(cases)
+    known = with_static(queries, known, profile, settings)
     signals = ex.candidate_signals(ex.prepare_queries(queries, profile), known, profile, settings)
     rivals = competitors(cases, known.lexicon, profile)
     runs = cases.select(
@@ -471,7 +484,9 @@ def evaluate_recency(
     others since.  Expected words that the lexicon lacks are reachable when
     warm, through the session.
     """
-    prepared = ex.prepare_queries(as_queries(cases), profile)
+    queries = as_queries(cases)
+    known = with_static(queries, known, profile, settings)
+    prepared = ex.prepare_queries(queries, profile)
     signals = ex.candidate_signals(prepared, known, profile, settings)
     sessions = aged_sessions(cases, known.lexicon, profile, noise).withColumn(
         "recency", sc.recency_prior(F.col("age"), F.lit(0), RECENCY_HALF_LIFE)

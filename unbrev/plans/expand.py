@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from unbrev.plans.history import form_popularity
 from unbrev.plans.lexicon import paradigm_forms
 from unbrev.plans.sessions import last_seen_as_of
 from unbrev.profile import Profile
+from unbrev.session import settle
 from unbrev.settings import SHORTCUT_SCORE, Settings
 
 OOV_SOURCE, SHORTCUT_SOURCE = "session", "shortcut"
@@ -36,7 +37,8 @@ class Knowledge:
     ``postings`` may hold prebuilt postings; ``pmi`` is a
     :func:`unbrev.plans.corpus.pmi_table`; ``session_words`` a
     :func:`unbrev.plans.sessions.session_ticks` table.
-    ``context_scorer`` replaces the pair statistics: it receives the candidate
+    ``static`` may hold the :func:`static_candidates` of the same queries, if
+    several rankings share them.  ``context_scorer`` replaces the pair statistics: it receives the candidate
     rows and returns them with a column ``s_context`` (0 is neutral).
     """
 
@@ -47,7 +49,7 @@ class Knowledge:
     session_words: DataFrame | None = None
     shortcuts: DataFrame | None = None
     paradigms: DataFrame | None = None
-    mask_lemmas: DataFrame | None = None
+    static: DataFrame | None = None
     context_scorer: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -74,6 +76,8 @@ def static_candidates(
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Scored candidates of each distinct input (context plays no part)."""
+    if known.static is not None:
+        return known.static
     inputs = rt.retrieval_inputs(prepared, profile, settings, "norm_input")
     postings = known.postings
     if postings is None:
@@ -236,6 +240,7 @@ def session_candidates(
         .filter(F.col("_c.distance") != ds.TOO_FAR)
         .select("*", "_c.*")
     )
+    near = settle(near)
     seen = last_seen_as_of(known.session_words, near).select(*keys, "tick", "last_tick", "recency")
     spelled = known.session_words.filter("is_plain").select(
         *keys, F.col("tick").alias("last_tick"), "display"
@@ -309,9 +314,14 @@ def complete_ranking(
             .filter(F.col("n") >= enough)
         )
         open_queries = prepared.join(filled, "query_id", "left_anti")
+    in_session = known.session_words is not None and "session_id" in queries.columns
+    if in_session and known.static is None:
+        # The lookup of recent words uses the candidates twice.
+        found = static_candidates(open_queries, known, profile, settings, slice_rows)
+        known = replace(known, static=settle(found))
     signals = candidate_signals(open_queries, known, profile, settings, slice_rows)
     ranked = _as_ranked(signals, settings, 0)
-    if known.session_words is not None and "session_id" in queries.columns:
+    if in_session:
         oov = session_candidates(open_queries, known, profile, settings, slice_rows)
         ranked = ranked.unionByName(_as_ranked(oov, settings, 1))
     return ranked if quick is None else ranked.unionByName(quick)

@@ -130,11 +130,11 @@ def _reverts_in_days(log: DataFrame, pair: Sequence[str], ts: str) -> DataFrame:
     Each revert is put into its own week and, as history, into the next one, so
     that a window never spans more than two weeks of a pair.
     """
-    span = EXCEPTION_DAYS * 86400
-    second = F.unix_micros(F.col(ts)) / 1e6
+    span = EXCEPTION_DAYS * 86_400_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     reverts = (
         log.filter(F.col("status") == REVERTED)
-        .select(*pair, second.alias("_at"))
+        .select(*pair, at.alias("_at"))
         .withColumn("_week", F.floor(F.col("_at") / span))
     )
     both = reverts.select(
@@ -148,7 +148,7 @@ def _reverts_in_days(log: DataFrame, pair: Sequence[str], ts: str) -> DataFrame:
         ).alias("w"),
     ).select(*pair, "_at", "w.*")
     recent = (
-        Window.partitionBy(*pair, "week").orderBy("_at").rangeBetween(-float(span), 0)
+        Window.partitionBy(*pair, "week").orderBy("_at").rangeBetween(-span, 0)
     )
     return (
         both.withColumn("_n", F.count(F.lit(1)).over(recent))

@@ -17,6 +17,7 @@ from unbrev.functions import scoring as sc
 from unbrev.functions import text as tx
 from unbrev.operators.blocked import neighbour, running_max, running_total
 from unbrev.profile import Profile
+from unbrev.session import settle
 from unbrev.settings import RECENCY_HALF_LIFE, TONE_HALF_LIFE
 
 BLOCK = 4096
@@ -201,7 +202,7 @@ def session_features(
 ) -> DataFrame:
     """Both feature tracks of a ``(session_id, pos, word)`` stream."""
     toned = tone_track(words, markers, profile, half_life=tone_half_life)
-    ticked = session_ticks(toned, profile)
+    ticked = settle(session_ticks(toned, profile))
     seen = last_seen_before(ticked, half_life=recency_half_life).select(
         "session_id", "pos", "last_tick", "recency"
     )

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_FOLDER: str | None = None
 
 # Large enough for the default cap per source, so that ranking windows drop
 # rows inside the map tasks.
@@ -26,3 +31,31 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in options.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that jobs write and read back.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
+    as in local tests, a temporary folder is made.
+    """
+    global _LOCAL_FOLDER
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _LOCAL_FOLDER is None:
+        _LOCAL_FOLDER = tempfile.mkdtemp(prefix="unbrev-")
+    return _LOCAL_FOLDER
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Write rows once and read them back.
+
+    For results that several branches of a job use and that are dear to work
+    out: every branch would repeat the work, and a lost executor too.  Runs a
+    Spark job.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/unbrev-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
