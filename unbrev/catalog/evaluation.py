@@ -178,15 +178,15 @@ def _noise_sql(prev: str = "''") -> list[tuple[str, str]]:
             "SELECT *, array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: " + keep_char + "), lambda i: substr(word, i, 1)), '') AS thin, "
             f"left(word, (least(4, n - 1) + floor({_chance('cut')} * (n - least(4, n - 1))))::INT) AS cut FROM n2",
         ),
-        ("n4", f"SELECT *, floor({_chance('pos')} * (length(thin) - 2))::INT + 2 AS at FROM n3"),
-        ("n5", f"SELECT *, {_neighbours('substr(thin, at, 1)')} AS near FROM n4"),
+        ("n4", f"SELECT *, floor({_chance('pos')} * (length(thin) - 2))::INT + 2 AS spot FROM n3"),
+        ("n5", f"SELECT *, {_neighbours('substr(thin, spot, 1)')} AS near FROM n4"),
         (
             "n6",
             "SELECT *, CASE "
             f"WHEN mode < {noise.P_TRUNCATE} THEN cut WHEN length(thin) < 3 OR length(thin) = n THEN NULL "
-            f"WHEN typo AND length(thin) >= 4 THEN CASE WHEN {_chance('swap')} < 0.5 THEN left(thin, at - 1) || substr(thin, at + 1, 1) || "
-            "substr(thin, at, 1) || substr(thin, at + 2) "
-            f"WHEN near <> '' THEN left(thin, at - 1) || substr(near, floor({_chance('near')} * length(near))::INT + 1, 1) || substr(thin, at + 1) "
+            f"WHEN typo AND length(thin) >= 4 THEN CASE WHEN {_chance('swap')} < 0.5 THEN left(thin, spot - 1) || substr(thin, spot + 1, 1) || "
+            "substr(thin, spot, 1) || substr(thin, spot + 2) "
+            f"WHEN near <> '' THEN left(thin, spot - 1) || substr(near, floor({_chance('near')} * length(near))::INT + 1, 1) || substr(thin, spot + 1) "
             "ELSE thin END ELSE thin END AS input, "
             f"CASE WHEN mode < {noise.P_TRUNCATE} THEN 'truncate' WHEN typo AND length(thin) >= 4 THEN 'typo' WHEN keep THEN 'ending' ELSE 'skeleton' END AS tag "
             "FROM n5",
@@ -361,16 +361,16 @@ SQL = {
     "FROM rates p LEFT JOIN rates a ON a.w = p.w AND a.run = 'adversarial' WHERE p.run = 'positive'",
     "evaluate_recency": o.with_(
         *_ranked_cases(_PLAIN_NOISE),
-        ("numbered", "SELECT form, row_number() OVER (ORDER BY freq DESC, form) - 1 AS at FROM lex"),
+        ("numbered", "SELECT form, row_number() OVER (ORDER BY freq DESC, form) - 1 AS spot FROM lex"),
         (
             "slots",
             f"SELECT case_id, expected, k, (floor({o.uniform(chr(39) + 'age' + chr(39), 'case_id')} * (SELECT count(*) FROM lex))::BIGINT + k) "
-            f"% (SELECT count(*) FROM lex) AS at FROM noisy, range(0, {NOISE_WORDS + 1}) t(k)",
+            f"% (SELECT count(*) FROM lex) AS spot FROM noisy, range(0, {NOISE_WORDS + 1}) t(k)",
         ),
         (
             "others",
             "SELECT * FROM (SELECT s.case_id, n.form, row_number() OVER (PARTITION BY s.case_id ORDER BY k) AS i FROM slots s "
-            f"JOIN numbered n USING (at) WHERE n.form <> s.expected) WHERE i <= {NOISE_WORDS}",
+            f"JOIN numbered n USING (spot) WHERE n.form <> s.expected) WHERE i <= {NOISE_WORDS}",
         ),
         (
             "used",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -262,12 +260,8 @@ def keyboard_adjacent(a: Column, b: Column, profile: Profile) -> Column:
 
 def keyboard_neighbours(ch: Column, profile: Profile) -> Column:
     """String of the letters next to ``ch`` on the keyboard."""
-    chain = reduce(
-        lambda acc, kv: acc.when(ch == kv[0], F.lit(kv[1])),
-        profile.neighbours.items(),
-        F.when(F.lit(False), F.lit("")),
-    )
-    return chain.otherwise(F.lit(""))
+    lookup = F.create_map(*[F.lit(x) for kv in profile.neighbours.items() for x in kv])
+    return F.coalesce(F.element_at(lookup, ch), F.lit(""))
 
 
 def uniform(*parts: Column | str | int) -> Column:

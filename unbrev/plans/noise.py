@@ -66,6 +66,12 @@ def weighted_draws(
     )
 
 
+def _computed(rows: DataFrame) -> DataFrame:
+    """The same rows, with their columns worked out here: later expressions
+    that use a column many times would otherwise each repeat all of it."""
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+
+
 def shorten(draws: DataFrame, profile: Profile, seed: int) -> DataFrame:
     """Add ``input`` and ``tag`` to rows of ``draw, word``.
 
@@ -104,11 +110,13 @@ def shorten(draws: DataFrame, profile: Profile, seed: int) -> DataFrame:
         return (i == 0) | (i >= tail_start) | ~(drop_vowel | drop_sign | drop_double)
 
     thin = F.array_join(F.filter(letters, survives), "")
-    stripped = base.withColumn("_thin", thin).withColumn("_cut", cut)
+    stripped = _computed(base.withColumn("_thin", thin).withColumn("_cut", cut))
     size = F.length("_thin")
     pos = F.floor(chance("pos") * (size - 2)).cast("int") + 2  # counts from 1
-    placed = stripped.withColumn("_pos", pos).withColumn(
-        "_near", tx.keyboard_neighbours(F.substring("_thin", F.col("_pos"), F.lit(1)), profile)
+    placed = _computed(
+        stripped.withColumn("_pos", pos).withColumn(
+            "_near", tx.keyboard_neighbours(F.substring("_thin", F.col("_pos"), F.lit(1)), profile)
+        )
     )
     at = F.col("_pos")
     head = F.substring("_thin", F.lit(1), at - 1)
@@ -175,9 +183,9 @@ def synthesize_noisy_pairs(
         )
     draws = weighted_draws(items, "_item", F.col("weight"), count, seed)
     noisy = shorten(draws, profile, seed)
-    forms = lexicon.select(norm.alias("input")).distinct()
-    kept = noisy.filter(F.col("tag") != "truncate").unionByName(
-        noisy.filter(F.col("tag") == "truncate").join(forms, "input", "left_anti")
+    forms = lexicon.select(norm.alias("input"), F.lit(True).alias("is_word")).distinct()
+    kept = noisy.join(forms, "input", "left").filter(
+        (F.col("tag") != "truncate") | F.col("is_word").isNull()
     )
     none = F.array().cast("array<string>")
     return kept.select(
