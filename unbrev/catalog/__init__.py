@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unbrev.catalog import corpus, evaluation, history, lexicons, ranking, retrieval, sessions
+from unbrev.catalog import corpus, evaluation, history, lexicons, ranking, retrieval, sessions, streams
 
-_PARTS = (corpus, lexicons, retrieval, ranking, sessions, history, evaluation)
+_PARTS = (corpus, lexicons, retrieval, ranking, sessions, history, evaluation, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

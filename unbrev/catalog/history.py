@@ -19,9 +19,13 @@ def pending_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_rows(table(spark, sf_dir, "events"))
+
+
+def log_rows(events: DataFrame) -> DataFrame:
     """Log rows of the events: clicks confirm and errors revert a form named by
     the event's key."""
-    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error"))
+    events = events.filter(F.col("event_type").isin("click", "error"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     return events.select(
         "ts",
