@@ -29,14 +29,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def stream_session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st.use_rocksdb(spark)
     turns = _stream(spark, sf_dir, "conversations")
     words = turns.select(
         F.col("conv_id").alias("session_id"),
         "turn",
         F.posexplode(tx.words_in(F.col("text"), P)).alias("p", "word"),
     ).select("session_id", (F.col("turn") * 1_000_000_000 + F.col("p")).alias("pos"), "word")
-    rows = st.stream_session_features(words, sessions.markers(spark), P)
+    rows = st.stream_session_features(words, sessions.markers(spark), P, idle_ms=None)
     folder = _folder(spark)
     sh.run_to_table(rows, f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select(
@@ -45,7 +44,6 @@ def stream_session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_pending_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st.use_rocksdb(spark)
     kind = (
         F.when(F.col("event_type") == "click", "pick")
         .when(F.col("event_type") == "error", "undo")
@@ -56,7 +54,7 @@ def stream_pending_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"), kind.alias("kind"),
     )
     folder = _folder(spark)
-    sh.run_to_table(st.stream_resolve_picks(events), f"{folder}/out", f"{folder}/state")
+    sh.run_to_table(st.stream_resolve_picks(events, idle_ms=None), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -6,74 +6,73 @@ put into order first, so the source's rate limit bounds what a task holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from unbrev.functions import scoring as sc
 from unbrev.functions import text as tx
 from unbrev.profile import Profile
 from unbrev.settings import RECENCY_HALF_LIFE, TONE_HALF_LIFE
 
-IDLE_HOURS = 24
-STATE_STORE = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
+IDLE_MS = 24 * 3_600_000
+# A word not used for this many half-lives has no measurable prior left, so it
+# leaves the state, which stays bounded however long a session lasts.
+FORGET_HALF_LIVES = 64
 
+_SESSION_STATE = (
+    "word_no BIGINT, tick BIGINT, score DOUBLE, mass DOUBLE, "
+    "norms ARRAY<STRING>, ticks ARRAY<BIGINT>"
+)
+_FEATURES = ["session_id", "pos", "norm", "tick", "recency", "tone_score", "tone_mass"]
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state with timers and expiry needs this state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
+def _timeout(idle_ms: int | None) -> str:
+    if idle_ms is None:
+        return GroupStateTimeout.NoTimeout
+    return GroupStateTimeout.ProcessingTimeTimeout
 
-class SessionState(StatefulProcessor):
-    """Word count, plain-word tick, last use of each word, decayed tone."""
 
-    def __init__(self, recency_half_life: float, tone_half_life: float) -> None:
-        self._recency_half_life = recency_half_life
-        self._decay = 0.5 ** (1.0 / tone_half_life)
+def _session_step(
+    recency_half_life: float, tone_half_life: float, idle_ms: int | None
+) -> Callable:
+    decay = 0.5 ** (1.0 / tone_half_life)
+    horizon = math.ceil(FORGET_HALF_LIVES * recency_half_life)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        idle = IDLE_HOURS * 3_600_000
-        self._totals = handle.getValueState(
-            "totals", "word_no BIGINT, tick BIGINT, score DOUBLE, mass DOUBLE", idle
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        word_no, tick, score, mass, norms, ticks = (
+            state.get if state.exists else (0, 0, 0.0, 0.0, [], [])
         )
-        self._seen = handle.getMapState("seen", "norm STRING", "tick BIGINT", idle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        last = dict(zip(norms, ticks))
         words = pd.concat(list(rows)).sort_values("pos")
-        word_no, tick, score, mass = self._totals.get() if self._totals.exists() else (0, 0, 0.0, 0.0)
-        last: dict[str, int | None] = {}
         out = []
         for norm, plain, sign in zip(words["norm"], words["is_plain"], words["sign"]):
             word_no += 1
-            score, mass = score * self._decay, mass * self._decay
-            if sign == sign and sign is not None:
+            score, mass = score * decay, mass * decay
+            if pd.notna(sign):
                 score, mass = score + sign, mass + 1.0
-            seen = None
+            prior = 0.0
             if plain:
-                if norm not in last:
-                    held = self._seen.containsKey((norm,))
-                    last[norm] = self._seen.getValue((norm,))[0] if held else None
-                seen = last[norm]
+                if norm in last:
+                    prior = 0.5 ** ((tick - last[norm]) / recency_half_life)
                 tick += 1
                 last[norm] = tick
-            age = None if seen is None else tick - 1 - seen
-            prior = 0.0 if age is None else 0.5 ** (age / self._recency_half_life)
             out.append((key[0], word_no, norm, tick, prior, score, mass))
-        for norm, at in last.items():
-            self._seen.updateValue((norm,), (at,))
-        self._totals.update((word_no, tick, score, mass))
-        yield pd.DataFrame(
-            out,
-            columns=["session_id", "pos", "norm", "tick", "recency", "tone_score", "tone_mass"],
-        )
+        if len(last) > 2 * horizon:
+            last = {w: t for w, t in last.items() if t > tick - horizon}
+        state.update((word_no, tick, score, mass, list(last), list(last.values())))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=_FEATURES)
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def stream_session_features(
@@ -82,9 +81,12 @@ def stream_session_features(
     profile: Profile,
     recency_half_life: float = RECENCY_HALF_LIFE,
     tone_half_life: float = TONE_HALF_LIFE,
+    idle_ms: int | None = IDLE_MS,
 ) -> DataFrame:
     """Features of a streamed ``(session_id, pos, word)``, as the batch job
-    gives them.  A change of context is a change of ``session_id``."""
+    gives them.  A change of context is a change of ``session_id``; the state of
+    a session goes when it has been idle for ``idle_ms``.  Idle times keep a
+    query running for ever, so pass None with an ``availableNow`` trigger."""
     norm = tx.normalize(tx.strip(F.col("word")), profile)
     marks = markers.select(F.col("word").alias("mark"), F.col("sign").cast("double").alias("sign"))
     keyed = (
@@ -97,60 +99,56 @@ def stream_session_features(
     session_type = words.schema["session_id"].dataType.simpleString()
     return (
         keyed.groupBy("session_id")
-        .transformWithStateInPandas(
-            SessionState(recency_half_life, tone_half_life),
+        .applyInPandasWithState(
+            _session_step(recency_half_life, tone_half_life, idle_ms),
             f"session_id {session_type}, pos BIGINT, norm STRING, tick BIGINT, recency DOUBLE, "
             "tone_score DOUBLE, tone_mass DOUBLE",
-            outputMode="Append",
-            timeMode="ProcessingTime",
+            _SESSION_STATE,
+            "append",
+            _timeout(idle_ms),
         )
         .withColumn("register", sc.register(F.col("tone_score"), F.col("tone_mass")))
     )
 
 
-class PickState(StatefulProcessor):
-    """The last pick of a user until the next event says how it went."""
+_OUTCOME = ["event_id", "user_id", "status"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._pending = handle.getValueState("pending", "event_id BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+def _pick_step(idle_ms: int | None) -> Callable:
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState):
+        pending = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            # Nothing came after the pick: it was kept.
+            state.remove()
+            if pending is not None:
+                yield pd.DataFrame([(int(pending), key[0], "confirmed")], columns=_OUTCOME)
+            return
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        pending = self._pending.get()[0] if self._pending.exists() else None
         out = []
         for event_id, kind in zip(events["event_id"], events["kind"]):
             if pending is not None:
                 status = "reverted" if kind == "undo" else "confirmed"
                 out.append((int(pending), key[0], status))
-            pending = event_id if kind == "pick" else None
-        if pending is None:
-            self._pending.clear()
-        else:
-            self._pending.update((int(pending),))
-            idle = IDLE_HOURS * 3_600_000
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # Nothing came after the pick: it was kept.
-        rows = []
-        if self._pending.exists():
-            rows.append((int(self._pending.get()[0]), key[0], "confirmed"))
-            self._pending.clear()
-        yield pd.DataFrame(rows, columns=["event_id", "user_id", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_resolve_picks(events: DataFrame) -> DataFrame:
+            pending = int(event_id) if kind == "pick" else None
+        if pending is not None:
+            state.update((pending,))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=_OUTCOME)
+
+    return step
+
+
+def stream_resolve_picks(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Outcomes ``(event_id, user_id, status)`` of streamed
     ``(event_id, ts, user_id, kind)``; a pick that stays last is confirmed when
-    its user has been idle."""
-    return events.groupBy("user_id").transformWithStateInPandas(
-        PickState(),
+    its user has been idle for ``idle_ms`` (see above)."""
+    return events.groupBy("user_id").applyInPandasWithState(
+        _pick_step(idle_ms),
         "event_id BIGINT, user_id STRING, status STRING",
-        outputMode="Append",
-        timeMode="ProcessingTime",
+        "event_id BIGINT",
+        "append",
+        _timeout(idle_ms),
     )
