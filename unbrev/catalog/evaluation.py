@@ -23,7 +23,7 @@ NOISE_WORDS = 10
 
 def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word was drawn."""
-    pool = noise.abbreviatable(
+    pool = noise.worth_shortening(
         base_lexicon(spark, sf_dir).select(F.col("form").alias("word"), (F.col("freq") + 1.0).alias("weight")), P
     )
     drawn = noise.weighted_draws(pool, "word", F.col("weight"), DRAWS, SEED)

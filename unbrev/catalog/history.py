@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.catalog import oracle as o
-from unbrev.catalog.inputs import P, base_lexicon, day, pick_events, shorthand_queries, table
+from unbrev.catalog.inputs import P, base_lexicon, hour, pick_events, shorthand_queries, table
 from unbrev.catalog.ranking import FLAT, LIMIT, _show
 from unbrev.plans import expand as ex
 from unbrev.plans import history as hi
@@ -14,7 +14,7 @@ from unbrev.settings import Settings
 
 
 def pending_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks = hi.resolve_picks(pick_events(spark, sf_dir), "user_id", ["ts", "event_id"], day())
+    picks = hi.resolve_picks(pick_events(spark, sf_dir), "user_id", ["ts", "event_id"], hour())
     return picks.select("event_id", "user_id", "status")
 
 

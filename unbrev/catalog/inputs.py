@@ -152,5 +152,5 @@ def pick_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def day(ts: str = "ts") -> Column:
-    return F.unix_date(F.to_date(ts))
+def hour(ts: str = "ts") -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.catalog import oracle as o
-from unbrev.catalog.inputs import P, conversation_words, day, shorthand, table, word_counts
+from unbrev.catalog.inputs import P, conversation_words, hour, shorthand, table, word_counts
 from unbrev.catalog.ranking import FLAT, LIMIT, _show
 from unbrev.plans import expand as ex
 from unbrev.plans import sessions as se
@@ -80,7 +80,7 @@ def session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    numbered = se.number_sessions(events, "user_id", ["ts", "event_id"], "event_type", day())
+    numbered = se.number_sessions(events, "user_id", ["ts", "event_id"], "event_type", hour())
     return numbered.select("event_id", "user_id", "session_no")
 
 

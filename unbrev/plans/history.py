@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unbrev.functions import scoring as sc
 from unbrev.functions import text as tx
-from unbrev.operators.blocked import neighbour
+from unbrev.operators.blocked import neighbour, running_total
 from unbrev.profile import Profile
 
 CONFIRMED, REVERTED = "confirmed", "reverted"
@@ -101,9 +101,6 @@ def earned_exceptions(
 ) -> DataFrame:
     """Pairs that users keep undoing: three reverts within seven days, or more
     than half of at least five taps.
-
-    Three reverts lie within a week when a revert and the second one after it
-    do; the window holds one timestamp per revert of the pair and day bucket.
     """
     quality = acceptance_quality(log, pair)
     rate_hit = (F.col("tapped") >= EXCEPTION_MIN_TAPS) & (
@@ -127,32 +124,50 @@ def earned_exceptions(
 def _reverts_in_days(log: DataFrame, pair: Sequence[str], ts: str) -> DataFrame:
     """Most reverts of a pair in any seven days that end with a revert.
 
-    Each revert is put into its own week and, as history, into the next one, so
-    that a window never spans more than two weeks of a pair.
+    That is the number of reverts up to the last one less the number before the
+    first of the seven days.  Both come from one running count, worked block by
+    block, in which each revert asks twice.
     """
-    span = EXCEPTION_DAYS * 86_400_000_000
+    span, hour = EXCEPTION_DAYS * 86_400_000_000, 3_600_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     reverts = (
         log.filter(F.col("status") == REVERTED)
-        .select(*pair, at.alias("_at"))
-        .withColumn("_week", F.floor(F.col("_at") / span))
+        .groupBy(*pair, at.alias("at"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    both = reverts.select(
+
+    def row(when: Column, turn: int, n: Column) -> Column:
+        return F.struct(when.alias("when"), F.lit(turn).alias("turn"), n.alias("n"))
+
+    # At one time: first the question about earlier reverts, then the reverts
+    # themselves, then the question about all so far.
+    before, own, upto = 0, 1, 2
+    none = F.lit(0).cast("bigint")
+    stream = reverts.select(
         *pair,
-        "_at",
+        "at",
         F.explode(
             F.array(
-                F.struct(F.col("_week").alias("week"), F.lit(True).alias("own")),
-                F.struct((F.col("_week") + 1).alias("week"), F.lit(False).alias("own")),
+                row(F.col("at") - span, before, none),
+                row(F.col("at"), own, F.col("n")),
+                row(F.col("at"), upto, none),
             )
-        ).alias("w"),
-    ).select(*pair, "_at", "w.*")
-    recent = (
-        Window.partitionBy(*pair, "week").orderBy("_at").rangeBetween(-span, 0)
+        ).alias("r"),
+    ).select(*pair, "at", "r.*")
+    counted = running_total(
+        stream,
+        list(pair),
+        [F.floor(F.col("when") / hour)],
+        [F.col("when"), F.col("turn")],
+        F.col("n"),
+        "so_far",
+    )
+    inside = F.max(F.when(F.col("turn") == upto, F.col("so_far"))) - F.max(
+        F.when(F.col("turn") == before, F.col("so_far"))
     )
     return (
-        both.withColumn("_n", F.count(F.lit(1)).over(recent))
-        .filter("own")
+        counted.groupBy(*pair, "at")
+        .agg(inside.alias("inside"))
         .groupBy(*pair)
-        .agg(F.max("_n").alias("most_reverts"))
+        .agg(F.max("inside").alias("most_reverts"))
     )

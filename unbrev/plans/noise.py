@@ -23,7 +23,7 @@ P_TYPO = 0.15
 MIN_LEN, MIN_VOWELS, MIN_RESULT = 5, 2, 3
 
 
-def abbreviatable(words: DataFrame, profile: Profile, column: str = "word") -> DataFrame:
+def worth_shortening(words: DataFrame, profile: Profile, column: str = "word") -> DataFrame:
     """Words long enough to shorten, with vowels to drop."""
     word = F.col(column)
     vowels = F.length(word) - F.length(F.translate(word, profile.vowels, ""))
@@ -167,7 +167,7 @@ def synthesize_noisy_pairs(
     """
     norm = tx.normalize(F.col("form"), profile)
     weight = F.greatest(F.col("freq"), F.lit(0.0)) + 1.0
-    pool = abbreviatable(
+    pool = worth_shortening(
         lexicon.select(norm.alias("word"), weight.alias("weight")), profile
     )
     if bigrams is None:
