@@ -124,7 +124,7 @@ def paradigm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = lx.paradigm_grid(inflected_paradigms(base_lexicon(spark, sf_dir)))
     return grid.select("lemma", F.posexplode("groups").alias("p", "g")).select(
         "lemma",
-        F.col("p").cast("bigint").alias("place"),
+        F.col("p").cast("int").alias("place"),
         "g.number",
         F.array_join(
             F.transform("g.forms", lambda c: F.concat(c["case"], F.lit("="), c["form"])), " "
