@@ -157,7 +157,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     ).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"))
     is_last = F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(last, "sha1").select(
+    # Both sides grow with the table, so the plan is the same at every size.
+    return rows.join(last.hint("merge"), "sha1").select(
         "page_id", "url", "html", "sha1", F.when(~is_last, F.col("last")).alias("refers_to")
     )
 
@@ -246,20 +247,21 @@ def normalise(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "data").mapInArrow(rewrite, NORMALISED)
 
 
-def read_members(archives: DataFrame, index: DataFrame) -> DataFrame:
-    """All records, each inflated alone from where the sidecar index says it lies."""
-    places = index.groupBy("archive").agg(
-        F.collect_list(F.struct("offset", "length")).alias("places")
-    )
+def read_members(archives: DataFrame) -> DataFrame:
+    """All records, each inflated alone from where the index says it lies.
+
+    The index lies beside the data, as a column of the same row, so nothing is
+    shuffled to bring them together.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         names = [part.split()[0] for part in RECORD.split(", ")]
         for batch in batches:
-            for data, places in zip(batch.column("data"), batch.column("places")):
+            for data, members in zip(batch.column("data"), batch.column("members")):
                 view, rows = memoryview(data.as_buffer()), {name: [] for name in names}
-                for place in places.as_py():
+                for place in members.as_py():
                     start = place["offset"]
                     piece = view[start : start + place["length"]]
                     (record,) = records(inflate(piece))
@@ -281,12 +283,7 @@ def read_members(archives: DataFrame, index: DataFrame) -> DataFrame:
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, pa.schema(_record_fields()))
 
-    return (
-        archives.select("archive", "data")
-        .join(places, "archive")
-        .select("data", "places")
-        .mapInArrow(read, RECORD)
-    )
+    return archives.select("data", "members").mapInArrow(read, RECORD)
 
 
 def _record_fields() -> list[tuple[str, pa.DataType]]:
