@@ -8,8 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unbrev.llm import url_filter, warc
-from unbrev.llm.common import table
+import public_tokenizers
+from unbrev.llm import byte_bpe, language, mixing, url_filter, warc
+from unbrev.llm.common import crc_remainder, table
+
+# -- 4: byte-level BPE --------------------------------------------------------
+
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count and digests of every document, encoded and decoded."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.digests(docs, BPE_RANKS, public_tokenizers.PATTERN)
+
 
 # -- 5: URL filters ---------------------------------------------------------
 
@@ -79,8 +91,8 @@ FROM keyed LEFT JOIN list ON keyed.url_key = list.url_key
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page through an archive, normalised, and back by the sidecar index."""
-    archives, index = warc.archive_pages(table(spark, folder, "pages"))
-    back = warc.read_members(archives, index)
+    archives, _ = warc.archive_pages(table(spark, folder, "pages"))
+    back = warc.read_members(archives)
     return back.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         "payload_bytes",
@@ -90,7 +102,45 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- 8: language identification -----------------------------------------------
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from those not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit(language.training_rows(docs, held_out), PIECES)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
+# -- 9: mixing ------------------------------------------------------------------
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's cell, weight, probability and fate."""
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"),
+        "kept",
+    )
+
+
 RUN = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op8_language": op8_language,
+    "op9_mixing": op9_mixing,
     "op5_url_filter": op5_url_filter,
     "op10_warc": op10_warc,
 }
