@@ -45,9 +45,7 @@ def byte_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    kind = pa.large_binary()
-    texts = texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts
-    flat = texts.cast(kind).fill_null(b"")
+    flat = texts.cast(pa.large_binary()).fill_null(b"")
     buffers = flat.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
     if buffers[2] is None:
@@ -221,3 +219,74 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+# -- pairs within groups, in blocks -----------------------------------------
+
+
+def in_blocks(rows: DataFrame, key: str, spread: str, block_rows: int) -> DataFrame:
+    """Deal the rows of every key out to pairs of blocks.
+
+    A key with more than ``block_rows`` rows is cut into blocks by the hash of
+    ``spread``; each row goes to every pair ``(_lo, _hi)`` of blocks that has its own
+    block ``_own`` in it.  Any two rows of a key meet in some group ``(key, _lo,
+    _hi)``, and no group has many more than two blocks of rows, however hot the key.
+    Rows come sorted, groups whole within a partition.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    blocks = F.ceil(F.col("_n") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
+    return (
+        rows.join(sizes, key)
+        .withColumn("_blocks", blocks)
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
+        .drop("_n", "_blocks", "_other")
+        .repartition(key, "_lo", "_hi")
+        .sortWithinPartitions(key, "_lo", "_hi")
+    )
+
+
+def group_runs(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted batches, with the bounds of the groups."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(rows.num_rows, bool)
+        for key in keys:
+            values = rows.column(key).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [rows.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        cuts = bounds(rows)
+        last = int(cuts[-2])
+        if last:
+            yield rows.slice(0, last), cuts[:-1]
+        held = rows.slice(last).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, bounds(rows)
+
+
+def fixed_binary(column: pa.ChunkedArray, dtype: np.dtype, width: int) -> np.ndarray:
+    """A column of equally long binaries as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, _ = byte_buffer(flat)
+    return data.view(dtype).reshape(len(flat), width) if len(flat) else np.zeros((0, width), dtype)
+
+
+def binaries(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binaries."""
+    matrix = np.ascontiguousarray(matrix)
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(
+        pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix)]
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, language, mixing, url_filter, warc
+from unbrev.llm import byte_bpe, language, mixing, near_text, url_filter, warc
 from unbrev.llm.common import crc_remainder, table
 
 # -- 4: byte-level BPE --------------------------------------------------------
@@ -102,6 +102,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- 7: near-duplicate texts --------------------------------------------------
+
+
+def op7_near_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicate documents on four-word shingles."""
+    return near_text.near_duplicates(table(spark, folder, "documents"), words=4)
+
+
 # -- 8: language identification -----------------------------------------------
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -139,6 +147,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 RUN = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_near_text": op7_near_text,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op5_url_filter": op5_url_filter,
