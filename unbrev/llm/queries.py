@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, language, mixing, near_text, url_filter, warc
+from unbrev.llm import byte_bpe, language, mixing, near_text, repeats, url_filter, warc
 from unbrev.llm.common import crc_remainder, table
 
 # -- 4: byte-level BPE --------------------------------------------------------
@@ -102,6 +102,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- 6: repeated strings --------------------------------------------------------
+
+
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What goes of every document because earlier documents have it."""
+    return repeats.removal_report(table(spark, folder, "documents"))
+
+
 # -- 7: near-duplicate texts --------------------------------------------------
 
 
@@ -147,6 +155,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 RUN = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_repeats": op6_repeats,
     "op7_near_text": op7_near_text,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
