@@ -1,17 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each by one operator."""
+"""The corpus pipeline: stages over ``documents``, each by one operator.
+
+Every stage reads what the one before wrote as Parquet, works on all of it, and hands
+on the columns of ``documents``; the last one returns encodings.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from unbrev.llm import byte_bpe, language, mixing, near_text, repeats
+from unbrev.llm.common import crc_remainder
+from unbrev.llm.queries import BPE_PATTERN, BPE_RANKS, PIECES
+from unbrev.session import shared_folder
+
+#: Least score of a language that a document is kept for.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters, or in no language that the model is sure of.
+
+    The model learns from the documents themselves, but those held out.
+    """
+    held_out = crc_remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(language.training_rows(docs, held_out), PIECES)
+    sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)
+    return language.predict(docs, model).filter(sure).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates: that with the smallest id."""
+    groups = near_text.near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out bytes that documents with smaller ids have too."""
+    return repeats.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents so that sources, languages and topics get their weights."""
+    return mixing.mix(docs).filter("kept").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document, encoded and decoded."""
+    return byte_bpe.digests(docs.select("doc_id", "source", "lang", "text"), BPE_RANKS, BPE_PATTERN)
+
 
-STAGES = []
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", remove_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
+#: Trained models, components and token ids are beyond SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages, in order, to the documents table."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{number}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{number}")
     return docs

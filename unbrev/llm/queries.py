@@ -14,13 +14,14 @@ from unbrev.llm.common import crc_remainder, table
 
 # -- 4: byte-level BPE --------------------------------------------------------
 
+BPE_PATTERN = public_tokenizers.PATTERN
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of every document, encoded and decoded."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return byte_bpe.digests(docs, BPE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(docs, BPE_RANKS, BPE_PATTERN)
 
 
 # -- 5: URL filters ---------------------------------------------------------
