@@ -9,9 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, language, mixing, near_text, repeats, url_filter, warc
+from unbrev.llm import byte_bpe, language, mixing, near_text, ngram_ratio, repeats, url_filter, warc
 from unbrev.llm.common import crc_remainder, table
 
+# -- 3: quality rules -----------------------------------------------------------
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's counts and verdict; documents labelled good are the target."""
+    labels = table(spark, folder, "labels")
+    trusted = labels.filter("quality = 1 and toxic = 0").select("doc_id")
+    return ngram_ratio.judge_quality(table(spark, folder, "documents"), trusted)
+
+
 # -- 4: byte-level BPE --------------------------------------------------------
 
 BPE_PATTERN = public_tokenizers.PATTERN
@@ -155,6 +165,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RUN = {
+    "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_repeats": op6_repeats,
     "op7_near_text": op7_near_text,
