@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, language, mixing, near_text, ngram_ratio, repeats, url_filter, warc
+from unbrev.llm import byte_bpe, language, lattice, mixing, near_text, ngram_ratio, repeats, url_filter, warc
 from unbrev.llm.common import crc_remainder, table
 
+# -- 1: near-duplicate vectors ----------------------------------------------------
+
+
+def op1_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of all vectors."""
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
 # -- 3: quality rules -----------------------------------------------------------
 
 
@@ -165,6 +173,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RUN = {
+    "op1_lattice": op1_lattice,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_repeats": op6_repeats,
