@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from unbrev.llm.common import parts_by_rows
+
 #: Distinct words a task remembers before it starts anew.
 REMEMBERED = 400_000
 #: Tokens decoded in one query.
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_path, pattern)
-        for batch in parts(batches):
+        for batch in parts_by_rows(batches, 512):
             ids = [numbers(x) for x in own.encode([t or "" for t in batch.column(text).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in others), pa.array(ids, pa.list_(pa.int32()))],
@@ -202,7 +204,7 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_path, pattern)
-        for batch in parts(batches):
+        for batch in parts_by_rows(batches, 512):
             ids = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in others), pa.array(list(own.decode(ids)), pa.binary())],
@@ -212,13 +214,6 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut to a number of rows that a task can hold in several forms."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def numbers(ids: str) -> np.ndarray:
     """Ids as :meth:`Tokenizer.encode` spells them, as numbers."""
     return np.array(ids.split(",") if ids else [], dtype=np.int32)
@@ -240,7 +235,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in parts(batches):
+        for batch in parts_by_rows(batches, 512):
             coded = own.encode([t or "" for t in batch.column(text).to_pylist()])
             ids = [numbers(x) for x in coded]
             yield pa.RecordBatch.from_arrays(

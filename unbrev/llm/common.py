@@ -69,6 +69,13 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[
         start = stop
 
 
+def parts_by_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a number of rows that a task can hold in several forms."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all their bits."""
     h = h ^ (h >> np.uint64(33))

@@ -9,36 +9,48 @@ the training rows, whose counting and summing Spark does.
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unbrev.llm.common import parts_by_rows
 from unbrev.session import settle
 
-#: Runs of letters, which are the words here; marks belong to the letter before.
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Runs of letters, which are the words here.
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Words are worked through in parts of so many characters, so that products of
 #: piece probabilities stay far from the smallest number.
 PART = 40
 SMOOTHING = 0.05
 #: Entries of a counting dictionary before it is handed on.
 FLUSH = 300_000
+#: Words worked through together.
+WORDS = 10_000
 UNDETERMINED = "und"
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xFF51AFD7ED558CCD)
+#: Bits of the table that tells for most strings that they are no piece.
+_SIEVE = 21
+
+
 class Vocabulary(NamedTuple):
-    """Pieces and their numbers; ``len(ids)`` stands for an unknown character."""
+    """Pieces by the hash of their characters; ``size - 1`` stands for an unknown
+    character."""
 
-    ids: dict[str, int]
+    hashes: np.ndarray
+    numbers: np.ndarray
+    sieve: np.ndarray
     longest: int
+    size: int
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -49,21 +61,100 @@ class Vocabulary(NamedTuple):
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 ids.setdefault(model.id_to_piece(i), len(ids))
-        return cls(ids, max(map(len, ids)))
-
-    def arcs(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position, the (start, piece) pairs that end there."""
-        ids, unknown, out = self.ids, len(self.ids), []
-        for stop in range(1, len(word) + 1):
-            found = []
-            for start in range(max(0, stop - self.longest), stop):
-                piece = ids.get(word[start:stop])
-                if piece is not None:
-                    found.append((start, piece))
-            if not found or found[-1][0] != stop - 1:
-                found.append((stop - 1, unknown))
-            out.append(found)
-        return out
+        hashes = np.zeros(len(ids), np.uint64)
+        for n, piece in enumerate(ids):
+            h = np.zeros(1, np.uint64)
+            for code in _codes(piece):
+                h = h * _FACTOR + code
+            hashes[n] = h[0]
+        order = np.argsort(hashes)
+        sieve = np.zeros(1 << _SIEVE, bool)
+        sieve[_place(hashes)] = True
+        return cls(hashes[order], order, sieve, max(map(len, ids)), len(ids) + 1)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * _SPREAD) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+
+class Segmentations:
+    """All ways to cut strings into pieces, as arcs between character positions.
+
+    String ``i`` owns the nodes from ``base[i]``, one more than it has characters.  A
+    character that is no piece itself has an arc of the unknown piece.
+    """
+
+    def __init__(self, strings: list[str], vocabulary: Vocabulary) -> None:
+        codes = _codes("".join(strings))
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        owner = np.repeat(np.arange(len(strings)), sizes)
+        first = np.cumsum(sizes) - sizes
+        room = first[owner] + sizes[owner] - np.arange(len(codes))
+        at = np.arange(len(codes))
+        h = np.zeros(len(codes), np.uint64)
+        starts, lengths, pieces = [], [], []
+        for length in range(1, vocabulary.longest + 1):
+            stays = room[at] >= length
+            at, h = at[stays], h[stays]
+            if not len(at):
+                break
+            h = h * _FACTOR + codes[at + length - 1]
+            maybe = np.flatnonzero(vocabulary.sieve[_place(h)])
+            spot = np.minimum(np.searchsorted(vocabulary.hashes, h[maybe]), vocabulary.size - 2)
+            real = vocabulary.hashes[spot] == h[maybe]
+            found, piece = at[maybe[real]], vocabulary.numbers[spot[real]]
+            if length == 1:
+                known = np.zeros(len(codes), bool)
+                known[found] = True
+                odd = np.flatnonzero(~known)
+                found = np.concatenate([found, odd])
+                piece = np.concatenate([piece, np.full(len(odd), vocabulary.size - 1)])
+            starts.append(found)
+            lengths.append(np.full(len(found), length))
+            pieces.append(piece)
+        start, length, piece = map(np.concatenate, (starts, lengths, pieces))
+        self.owner = owner[start]
+        self.base = first + np.arange(len(strings))
+        self.last = self.base + sizes
+        self.nodes = len(codes) + len(strings)
+        self.tail = start + self.owner
+        self.head = self.tail + length
+        self.depth = self.head - self.base[self.owner]
+        self.rise = self.tail - self.base[self.owner]
+        self.piece = piece
+
+    def _steps(self, level: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arcs level by level, those of a node side by side, with where each begins."""
+        order = np.lexsort((node, level))
+        cuts = np.flatnonzero(np.diff(level[order])) + 1
+        for arcs in np.split(order, cuts):
+            change = np.flatnonzero(np.diff(node[arcs])) + 1
+            yield arcs, np.concatenate([[0], change])
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """Probability of every prefix, given that of each arc (one or more columns)."""
+        alpha = np.zeros((self.nodes, *p.shape[1:]))
+        alpha[self.base] = 1.0
+        for arcs, starts in self._steps(self.depth, self.head):
+            alpha[self.head[arcs[starts]]] = np.add.reduceat(alpha[self.tail[arcs]] * p[arcs], starts)
+        return alpha
+
+    def backward(self, p: np.ndarray) -> np.ndarray:
+        """Probability of every rest."""
+        beta = np.zeros((self.nodes, *p.shape[1:]))
+        beta[self.last] = 1.0
+        for arcs, starts in self._steps(-self.rise, self.tail):
+            beta[self.tail[arcs[starts]]] = np.add.reduceat(beta[self.head[arcs]] * p[arcs], starts)
+        return beta
+
+    def uses(self, p: np.ndarray) -> np.ndarray:
+        """How often each arc is used, over all segmentations by their weight."""
+        alpha, beta = self.forward(p), self.backward(p)
+        return alpha[self.tail] * p * beta[self.head] / alpha[self.last][self.owner]
 
 
 class Model(NamedTuple):
@@ -86,30 +177,15 @@ def parts_of(word: str) -> list[str]:
     return [spelt[i : i + PART] for i in range(0, len(spelt), PART)]
 
 
-def forward(arcs: list[list[tuple[int, int]]], p: list[float]) -> list[float]:
-    """Probability of every prefix: the sum over all its segmentations."""
-    alpha = [1.0]
-    for found in arcs:
-        alpha.append(sum([alpha[start] * p[piece] for start, piece in found]))
-    return alpha
-
-
-def expected_counts(
-    arcs: list[list[tuple[int, int]]], p: list[float], weight: float, out: np.ndarray
-) -> None:
-    """Add how often each piece is used, over all segmentations by their weight."""
-    alpha = forward(arcs, p)
-    beta = [0.0] * len(alpha)
-    beta[-1] = 1.0
-    scale = weight / alpha[-1]
-    for stop in range(len(arcs), 0, -1):
-        after = beta[stop]
-        if after == 0.0:
-            continue
-        for start, piece in arcs[stop - 1]:
-            use = p[piece] * after
-            beta[start] += use
-            out[piece] += alpha[start] * use * scale
+def word_scores(words: list[str], vocabulary: Vocabulary, pieces: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language: ``(word, language)``."""
+    parts = [parts_of(word) for word in words]
+    of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+    cut = Segmentations([x for p in parts for x in p], vocabulary)
+    logs = np.log(cut.forward(pieces.T[cut.piece])[cut.last])
+    out = np.zeros((len(words), len(pieces)))
+    np.add.at(out, of, logs)
+    return out
 
 
 # -- learning --------------------------------------------------------------
@@ -156,7 +232,7 @@ def fit(labelled: DataFrame, vocabulary: str, rounds: int = 2) -> Model:
     languages = sorted(sizes)
     total = sum(sizes.values())
     prior = np.log([sizes[x] / total for x in languages]) if languages else np.zeros(0)
-    size = len(Vocabulary.load(vocabulary).ids) + 1
+    size = Vocabulary.load(vocabulary).size
     pieces = np.full((len(languages), size), 1.0 / size)
     if not languages:
         return Model([], prior, pieces, vocabulary)
@@ -179,13 +255,17 @@ def _expectation(counts: DataFrame, model: Model) -> DataFrame:
         known = shared.value
         vocabulary = Vocabulary.load(known.vocabulary)
         number = {x: i for i, x in enumerate(known.languages)}
-        p = [row.tolist() for row in known.pieces]
         uses = np.zeros(known.pieces.shape)
-        for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                own = number[lang]
-                for part in parts_of(word):
-                    expected_counts(vocabulary.arcs(part), p[own], n, uses[own])
+        for whole in batches:
+            for at in range(0, whole.num_rows, WORDS):
+                langs, words, n = (c.to_pylist() for c in whole.slice(at, WORDS).columns)
+                parts = [parts_of(word) for word in words]
+                size = [len(p) for p in parts]
+                own = np.repeat([number[lang] for lang in langs], size)
+                weight = np.repeat(np.array(n, float), size)
+                cut = Segmentations([x for p in parts for x in p], vocabulary)
+                used = cut.uses(known.pieces[own[cut.owner], cut.piece])
+                np.add.at(uses, (own[cut.owner], cut.piece), used * weight[cut.owner])
         lang, piece = np.nonzero(uses)
         yield pa.RecordBatch.from_pydict(
             {"lang": lang.astype(np.int32), "piece": piece.astype(np.int32), "uses": uses[lang, piece]}
@@ -214,32 +294,32 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         vocabulary = Vocabulary.load(known.vocabulary)
-        p = [row.tolist() for row in known.pieces]
-        cache: dict[str, list[float]] = {}
-
-        def word_score(word: str) -> list[float]:
-            got = cache.get(word)
-            if got is None:
-                got = [0.0] * len(p)
-                for part in parts_of(word):
-                    arcs = vocabulary.arcs(part)
-                    for i, own in enumerate(p):
-                        got[i] += math.log(forward(arcs, own)[-1])
-                if len(cache) > FLUSH:
-                    cache.clear()
-                cache[word] = got
-            return got
-
-        for batch in batches:
+        rows: dict[str, int] = {}
+        table = np.zeros((0, len(known.languages)))
+
+        def learn(words: list[str]) -> None:
+            nonlocal table
+            fresh = [
+                word_scores(words[at : at + WORDS], vocabulary, known.pieces)
+                for at in range(0, len(words), WORDS)
+            ]
+            rows.update(zip(words, range(len(table), len(table) + len(words))))
+            table = np.concatenate([table, *fresh])
+
+        for batch in parts_by_rows(batches, 1000):
+            counted = [words_of(value.as_py() or "") for value in batch.column(text)]
+            if len(rows) > FLUSH:
+                rows, table = {}, table[:0]
+            if known.languages:
+                learn(list({w: None for counts in counted for w in counts if w not in rows}))
             labels, scores = [], []
-            for value in batch.column(text):
-                counts = words_of(value.as_py() or "")
-                if not counts or not p:
+            for counts in counted:
+                if not known.languages or not any(c.isalpha() for w in counts for c in w):
                     labels.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                table = np.array([word_score(w) for w in counts])
-                sums = known.prior + np.fromiter(counts.values(), float, len(counts)) @ table
+                own = table[[rows[w] for w in counts]]
+                sums = known.prior + np.fromiter(counts.values(), float, len(counts)) @ own
                 best = int(sums.argmax())
                 labels.append(known.languages[best])
                 scores.append(float(1.0 / np.exp(sums - sums[best]).sum()))
