@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, language, lattice, mixing, near_text, ngram_ratio, repeats, url_filter, warc
+from unbrev.llm import byte_bpe, context_mixing, language, lattice, mixing, near_text, ngram_ratio, repeats, url_filter, warc
 from unbrev.llm.common import crc_remainder, table
 
 # -- 1: near-duplicate vectors ----------------------------------------------------
@@ -20,6 +20,15 @@ def op1_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_vectors(table(spark, folder, "embeddings"))
 
 
+# -- 2: language-model scores -----------------------------------------------------
+
+
+def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and model score of every document, learnt from those not held out."""
+    docs = table(spark, folder, "documents")
+    return context_mixing.score_texts(docs, crc_remainder(F.col("doc_id"), 5) == 1)
+
+
 # -- 3: quality rules -----------------------------------------------------------
 
 
@@ -174,6 +183,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 RUN = {
     "op1_lattice": op1_lattice,
+    "op2_context_mixing": op2_context_mixing,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_repeats": op6_repeats,
