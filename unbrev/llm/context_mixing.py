@@ -1,7 +1,8 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of bytes with an end mark, a byte a path of eight bits.  For every
-order in ``ORDERS`` a table of hashed contexts counts which bits followed; each gives a
+A text is a sequence of bytes with an end mark, a byte a path of eight bits.  Tables of
+hashed contexts, the last bytes of every order in ``ORDERS`` and the word so far, count
+which bits followed; each gives a
 prediction, and logistic mixing with weights chosen by a gate (how many of the contexts
 are known, and the bit's place) makes one of them, which an adaptive map by the last
 byte refines.
@@ -12,8 +13,8 @@ that.  Counts of all tasks are summed up and weights are averaged, so every trai
 text contributes; the model's size is fixed by its parameters.  Scoring changes nothing
 any more, so a text's score does not depend on its neighbours.
 
-All quantities depend on a byte and the six before it only, so a stretch is worked out
-once per different seven bytes.
+All quantities depend on a byte, the five before it and the word so far, so a stretch is
+worked out once per different such place.
 
 Beside the model stands the base: word frequencies of the training texts.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unbrev.llm.common import (
+    SEPARATORS,
     byte_buffer,
     lowered,
     mixed,
@@ -41,8 +43,10 @@ from unbrev.llm.common import (
 )
 from unbrev.session import settle
 
-#: Bytes of context of the predictors; the largest and the byte itself fill 56 bits.
-ORDERS = (1, 2, 3, 4, 6)
+#: Bytes of context of the predictors, beside that of the word so far.
+ORDERS = (1, 2, 3, 5)
+#: Number of tables.
+TABLES = len(ORDERS) + 1
 #: Each table has ``2 ** TABLE_BITS`` contexts.
 TABLE_BITS = 20
 #: Slots of a table that travel together.
@@ -55,15 +59,32 @@ FIRST_STRETCH, LAST_STRETCH = 128 << 10, 4 << 20
 STEP = 100_000
 _PRIOR = 0.4
 _CLIP = 11.0
-_GATES = len(ORDERS) + 1
-_INPUTS = len(ORDERS) + 1
+_GATES = TABLES + 1
+_INPUTS = TABLES + 1
 _MAP = 33
 _RATE = 0.5
 _SUMMED = "kind int, chunk int, part int, data binary"
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte with the six before it in its text, and the bounds of the texts.
+class Places(NamedTuple):
+    """Bytes with their contexts: the last bytes, and a hash of the word so far."""
+
+    codes: np.ndarray
+    words: np.ndarray
+
+    def take(self, at: np.ndarray | slice) -> Places:
+        return Places(self.codes[at], self.words[at])
+
+    def different(self) -> tuple[Places, np.ndarray, np.ndarray]:
+        """Different places in a fixed random order, how often each comes, and which
+        one every place is."""
+        keys = mixed(self.codes + mixed(self.words))
+        _, first, at, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        return self.take(first), times, at
+
+
+def places(data: np.ndarray, offsets: np.ndarray) -> tuple[Places, np.ndarray]:
+    """Each byte of the texts with its contexts, and the bounds of the texts.
 
     An end mark follows every text; before its start are zeros.
     """
@@ -72,23 +93,30 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     line = np.full(bounds[-1], END, np.uint8)
     owner = np.repeat(np.arange(number), np.diff(offsets))
     line[np.arange(len(data)) + owner] = data
-    place = np.arange(len(line)) - np.repeat(bounds[:-1], np.diff(bounds))
+    start = np.repeat(bounds[:-1], np.diff(bounds))
+    at = np.arange(len(line))
     codes = line.astype(np.uint64)
     for back in range(1, max(ORDERS) + 1):
         before = np.zeros(len(line), np.uint64)
         before[back:] = line[: len(line) - back]
-        before[place < back] = 0
+        before[at - start < back] = 0
         codes |= before << np.uint64(8 * back)
-    return codes, bounds
-
-
-def _slots(codes: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
-    """The slot of each context with the bits seen so far, order by order."""
-    before = codes >> np.uint64(8)
-    for order in ORDERS:
-        context = before & np.uint64((1 << 8 * order) - 1)
-        h = (context * np.uint64(0x9E3779B97F4A7C15) + node * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(order)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    gap = np.zeros(len(line), np.int64)
+    after = np.flatnonzero(np.isin(line[:-1], list(SEPARATORS))) + 1
+    gap[after] = after
+    word = np.maximum(np.maximum.accumulate(gap), start)
+    return Places(codes, span_hash(prefix_hash(line), word, at)), bounds
+
+
+def _slots(at: Places, node: np.ndarray) -> Iterator[np.ndarray]:
+    """The slot of each context with the bits seen so far, table by table."""
+    before = at.codes >> np.uint64(8)
+    contexts = [before & np.uint64((1 << 8 * order) - 1) for order in ORDERS]
+    for number, context in enumerate((*contexts, at.words)):
+        h = context * np.uint64(0x9E3779B97F4A7C15) + node * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = h ^ np.uint64(number) ^ (h >> np.uint64(29))
+        h = h * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         yield (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
@@ -111,15 +139,15 @@ class Model(NamedTuple):
     weights: np.ndarray
     refined: np.ndarray
 
-    def bit_costs(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 probability of each coded byte after its context."""
-        total = np.zeros(len(codes))
-        for place, node, bit in _bits(codes):
-            inputs = np.ones((len(codes), _INPUTS))
-            for k, slot in enumerate(_slots(codes, node)):
+    def bit_costs(self, at: Places) -> np.ndarray:
+        """Log10 probability of each byte after its contexts."""
+        total = np.zeros(len(at.codes))
+        for place, node, bit in _bits(at.codes):
+            inputs = np.ones((len(at.codes), _INPUTS))
+            for k, slot in enumerate(_slots(at, node)):
                 inputs[:, k] = self.stretched[k, slot]
             mix = _mix(inputs, self.weights[:, place])
-            p = self.refine(codes, mix)
+            p = self.refine(at.codes, mix)
             total += np.log10(np.where(bit == 1, p, 1.0 - p))
         return total
 
@@ -146,36 +174,35 @@ class Learner:
     """One task's counts, weights and map."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros((len(ORDERS), 1 << TABLE_BITS, 2), np.uint32)
+        self.counts = np.zeros((TABLES, 1 << TABLE_BITS, 2), np.uint32)
         self.weights = np.full((_GATES, 8, _INPUTS), 0.4)
         self.weights[:, :, -1] = 0.0
         self.seen = 0.0
         self.hits = np.zeros((256, _MAP, 2))
 
-    def learn(self, codes: np.ndarray) -> None:
+    def learn(self, stretch: Places) -> None:
         """Predict a stretch, correct by the outcome, then count it."""
-        codes, times = np.unique(codes, return_counts=True)
-        # Neighbours in order share contexts; mix them for the steps of the weights.
-        shuffled = np.argsort(mixed(codes))
-        codes, times = codes[shuffled], times[shuffled]
+        known, times, _ = stretch.different()
         if self.seen or self.counts[0].any():
-            for at in range(0, len(codes), STEP):
-                self._correct(codes[at : at + STEP], times[at : at + STEP])
-        for _, node, bit in _bits(codes):
-            for k, slot in enumerate(_slots(codes, node)):
+            for start in range(0, len(times), STEP):
+                part = slice(start, start + STEP)
+                self._correct(known.take(part), times[part])
+        for _, node, bit in _bits(known.codes):
+            for k, slot in enumerate(_slots(known, node)):
                 np.add.at(self.counts[k].reshape(-1), slot * 2 + bit, times.astype(np.uint32))
 
-    def _correct(self, codes: np.ndarray, times: np.ndarray) -> None:
+    def _correct(self, at: Places, times: np.ndarray) -> None:
+        codes = at.codes
         last = ((codes >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
         for place, node, bit in _bits(codes):
             inputs = np.ones((len(codes), _INPUTS))
-            for k, slot in enumerate(_slots(codes, node)):
+            for k, slot in enumerate(_slots(at, node)):
                 n = self.counts[k][slot]
                 inputs[:, k] = np.log((n[:, 1] + _PRIOR) / (n[:, 0] + _PRIOR))
             weights = self.weights[:, place]
             mix = _mix(inputs, weights)
-            at, part = _steps(mix)
-            for step, share in ((at, (1 - part) * times), (at + 1, part * times)):
+            low, part = _steps(mix)
+            for step, share in ((low, (1 - part) * times), (low + 1, part * times)):
                 np.add.at(self.hits, (last, step, bit), share)
             p = _squash(mix)
             gate = (inputs[:, :-1] != 0).sum(axis=1)
@@ -193,7 +220,7 @@ class Learner:
 
 
 def _training(docs: DataFrame) -> DataFrame:
-    """``kind, chunk, part, data``: the tasks' counts (kind: order) and, as kind -1,
+    """``kind, chunk, part, data``: the tasks' counts (kind: table) and, as kind -1,
     their weights and maps."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +229,17 @@ def _training(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", FIRST_STRETCH):
                 data, offsets = byte_buffer(part.column("text"))
-                held.append(gram_codes(lowered(data), offsets)[0])
+                held.append(places(lowered(data), offsets)[0])
                 size += len(data)
                 if size >= stretch:
-                    learner.learn(np.concatenate(held))
+                    learner.learn(Places(*map(np.concatenate, zip(*held))))
                     held, size, stretch = [], 0, min(stretch * 2, LAST_STRETCH)
         if held:
-            learner.learn(np.concatenate(held))
+            learner.learn(Places(*map(np.concatenate, zip(*held))))
         if not learner.counts[0].any():
             return
-        pieces = learner.counts.reshape(len(ORDERS), -1, CHUNK * 2)
-        for order in range(len(ORDERS)):
+        pieces = learner.counts.reshape(TABLES, -1, CHUNK * 2)
+        for order in range(TABLES):
             full = np.flatnonzero(pieces[order].any(axis=1))
             yield _rows(order, full, task, [_pack(pieces[order, c]) for c in full])
         rest = np.concatenate(
@@ -265,7 +292,7 @@ def fit(docs: DataFrame) -> Model:
     """
     # First by groups of tasks, so that no sum takes in the blobs of all tasks at once.
     summed = _add_up(_add_up(_training(docs), ["kind", "chunk", "part"]), ["kind", "chunk"])
-    stretched = np.zeros((len(ORDERS), 1 << TABLE_BITS), np.float32)
+    stretched = np.zeros((TABLES, 1 << TABLE_BITS), np.float32)
     learner = Learner()
     weights, refined = learner.weights, _squash(np.linspace(-_CLIP, _CLIP, _MAP))[None].repeat(256, 0)
     for row in summed.toLocalIterator():
@@ -295,10 +322,10 @@ def model_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", LAST_STRETCH):
                 data, offsets = byte_buffer(part.column("text"))
-                codes, bounds = gram_codes(lowered(data), offsets)
-                known, at = np.unique(codes, return_inverse=True)
+                every, bounds = places(lowered(data), offsets)
+                known, times, at = every.different()
                 costs = np.concatenate(
-                    [own.bit_costs(known[i : i + STEP]) for i in range(0, len(known), STEP)]
+                    [own.bit_costs(known.take(slice(i, i + STEP))) for i in range(0, len(times), STEP)]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
