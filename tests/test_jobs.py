@@ -114,7 +114,7 @@ def test_readers(spark, tmp_path):
     assert raw.filter("ok").count() == 2
     built = {r.form: r.freq for r in lx.build_lexicon(raw.filter("ok"), RU).collect()}
     assert built == {"привет": 220.5, "мир": 7.0}
-    cases = readers.read_cases(spark, write(tmp_path, "c.tsv", "рбт\tработы\tcase\tне для\nпрвт\tпривет\n")).collect()
+    cases = readers.read_cases(spark, write(tmp_path, "c.tsv", "рбт\tработы\tcase\tне для\nпрвт\tпривет\n")).orderBy("case_id").collect()
     assert [(c.tag, c.context) for c in cases] == [("case", ["не", "для"]), ("untagged", [])]
     masked = readers.read_mask_list(spark, write(tmp_path, "m.txt", "Редиска\n# x\nредиска\n"), RU)
     assert [r.lemma for r in masked.collect()] == ["редиска"]

@@ -54,7 +54,9 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.bigram_counts(_tokens(spark, sf_dir), vocab, BIGRAM_MIN)
 
 
-def _ngrams(spark: SparkSession, sf_dir: str, top: int) -> tuple[DataFrame, DataFrame]:
+def _ngrams(
+    spark: SparkSession, sf_dir: str, top: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     lines = corpus.text_lines(table(spark, sf_dir, "documents"))
     return corpus.build_bigrams(lines, base_lexicon(spark, sf_dir), P, top, BIGRAM_MIN)
 
@@ -64,7 +66,7 @@ def bigram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.pmi_table(*_ngrams(spark, sf_dir, 150_000))
+    return corpus.pmi_table(*_ngrams(spark, sf_dir))
 
 
 def bigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,9 +233,14 @@ SQL = {
             "SELECT skel, form FROM (SELECT *, row_number() OVER (PARTITION BY skel ORDER BY freq DESC, form) AS r "
             "FROM lex WHERE skel <> '') WHERE r = 1",
         ),
+        (
+            "unknown",
+            f"SELECT word, cnt, {o.skel('word')} AS skel FROM counts ANTI JOIN lex ON lex.form = counts.word "
+            "WHERE cnt >= 2 AND length(word) >= 2",
+        ),
     )
-    + f"SELECT c.word AS token, b.form AS word, c.cnt FROM counts c JOIN best b ON b.skel = {o.skel('c.word')} "
-    "WHERE c.cnt >= 2 AND length(c.word) >= 2 AND c.word NOT IN (SELECT form FROM lex) AND length(c.word) < length(b.form)",
+    + "SELECT u.word AS token, b.form AS word, u.cnt FROM unknown u JOIN best b ON b.skel = u.skel "
+    "WHERE length(u.word) < length(b.form)",
     "unigram_counts": o.with_(*o.lex(), *_LINE_PARTS, _UNIGRAMS) + "SELECT word, cnt FROM unigrams",
     "bigram_counts": o.with_(*o.lex(), *_LINE_PARTS, _BIGRAMS) + "SELECT prev, word, cnt FROM bigrams",
     "bigram_top": o.with_(*o.lex(), *_LINE_PARTS, _BIGRAMS)

@@ -162,8 +162,8 @@ SQL = {
     + "SELECT c.session_id, c.pos, c.norm, c.tick, round(coalesce(pow(0.5::DOUBLE, (s.tick - 1 - s.last_tick) / 80.0::DOUBLE), 0.0), 6) "
     f"AS recency, {_REGISTER} AS register FROM ct c JOIN tone t USING (session_id, pos) LEFT JOIN seen s USING (session_id, pos)",
     "session_numbering": "SELECT event_id, user_id, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM ("
-    "SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS step "
-    "FROM events)",
+    "SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS step "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
     "ranked_session": o.with_(
         *o.lex(SESSION_LEXICON_MIN),
         *_WORDS,

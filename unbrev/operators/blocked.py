@@ -10,6 +10,8 @@ ordered over the whole group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def _block_columns(df: DataFrame, block: Order) -> tuple[DataFrame, list[str]]:
     return df.withColumns(dict(zip(names, block))), names
 
 
+def _attach(df: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add the columns of ``found``, one row per block, to the rows of the block.
+
+    A null key or block is a value like any other.
+    """
+    right = found.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return df.join(right, reduce(and_, same)).drop(*[f"_on_{c}" for c in on])
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,8 +57,7 @@ def running_total(
     )
     local = F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.withColumn("_local", local)
-        .join(before, [*keys, *names])
+        _attach(df.withColumn("_local", local), before, [*keys, *names])
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_v", "_local", "_before", *names)
     )
@@ -86,8 +97,7 @@ def running_max(
     )
     local = F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.withColumn("_local", local)
-        .join(before, [*keys, *names])
+        _attach(df.withColumn("_local", local), before, [*keys, *names])
         .withColumn(out, F.greatest(F.col("_local"), F.col("_before")))
         .drop("_v", "_local", "_before", *names)
     )
@@ -118,8 +128,7 @@ def neighbour(
         .drop("_edge")
     )
     return (
-        df.withColumn("_local", shift("_v").over(inside))
-        .join(carried, [*keys, *names])
+        _attach(df.withColumn("_local", shift("_v").over(inside)), carried, [*keys, *names])
         .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry"))["v"])
         .drop("_v", "_local", "_carry", *names)
     )

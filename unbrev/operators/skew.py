@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, so the list is always small enough
-# to send to every task.  Every other key has at most 1/1024 of the rows.
-MAX_HOT_KEYS = 1024
+# Joined rows that one task should make at most.
 SLICE_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The most frequent keys with more than ``slice_rows`` rows, and how many
-    slices each needs.  Never more than :data:`MAX_HOT_KEYS` rows."""
+def hot_keys(
+    left: DataFrame, right: DataFrame, on: Sequence[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Keys that make more than ``slice_rows`` joined rows, and in how many slices.
+
+    A key gets no more slices than it has rows on the left.
+    """
+    sizes = [
+        side.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+        for side, name in ((left, "_left"), (right, "_right"))
+    ]
+    made = F.col("_left") * F.col("_right")
+    slices = F.least(F.ceil(made / slice_rows), F.col("_left")).cast("int")
     return (
-        df.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > slice_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices"))
+        sizes[0].join(sizes[1], list(on)).filter(made > slice_rows).select(*on, slices.alias("_slices"))
     )
 
 
@@ -38,11 +41,13 @@ def sliced_join(
 
     Rows of a hot key on the left are spread over slices by the hash of the
     ``spread`` columns, and the right rows of that key are repeated once per
-    slice.  Results equal those of a plain join.  Use it where each left row
-    meets many right rows, so that a task's output, which the size-based skew
-    handling of the adaptive planner does not see, is bounded too.
+    slice.  Results equal those of a plain join.  What a slice makes is about
+    ``slice_rows`` rows, whichever side they come from, as long as no value of the
+    ``spread`` columns is hot itself; the size-based skew handling of the adaptive
+    planner does not see output.  How the list of hot keys is joined is up to the
+    planner; nothing bounds their number.
     """
-    hot = F.broadcast(hot_keys(left, on, slice_rows))
+    hot = hot_keys(left, right, on, slice_rows)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     left_sliced = (
         left.join(hot, list(on), "left")

@@ -87,14 +87,19 @@ def build_bigrams(
     lines: DataFrame,
     lexicon: DataFrame,
     profile: Profile,
-    top: int = 150_000,
+    top: int | None = None,
     min_count: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
-    """Unigram and top bigram tables of a corpus with a ``line`` column."""
+    """Unigram and bigram tables of a corpus with a ``line`` column.
+
+    With ``top`` only that many of the most frequent pairs are kept.
+    """
     vocab = vocabulary(lexicon, profile)
     tokens = line_tokens(lines, profile)
     unigrams = unigram_counts(tokens, vocab)
     pairs = bigram_counts(tokens, vocab, min_count)
+    if top is None:
+        return unigrams, pairs
 
     def side(name: str, prefix: str) -> DataFrame:
         return vocab.select(

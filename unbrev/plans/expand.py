@@ -429,19 +429,17 @@ def group_variants(
 
 
 def nest_variants(
-    groups: DataFrame, variants: DataFrame, max_forms: int = 10_000
+    groups: DataFrame, variants: DataFrame
 ) -> DataFrame:
-    """Groups with a ``variants`` array; fails if a lemma has more forms than
-    ``max_forms``, because an array must fit into one task."""
+    """Groups with a ``variants`` array, for showing.
+
+    An array must fit into one task; the rows of :func:`group_variants` are the form
+    for any number of forms.
+    """
     keys = ["query_id", "rank"]
-    sizes = variants.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    checked = variants.join(sizes, keys).withColumn(
-        "_ok",
-        F.when(F.col("_n") > max_forms, F.raise_error(F.lit("too many forms to nest"))),
-    )
-    arrays = checked.groupBy(*keys).agg(
+    arrays = variants.groupBy(*keys).agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("ord", "variant", "_ok"))),
+            F.sort_array(F.collect_list(F.struct("ord", "variant"))),
             lambda v: v["variant"],
         ).alias("variants")
     )

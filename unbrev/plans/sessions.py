@@ -33,10 +33,14 @@ def number_sessions(
     block: Column,
     out: str = "session_no",
 ) -> DataFrame:
-    """Number a user's sessions from 1; a new context starts a new session."""
-    prev = neighbour(events, [user], [block], order, F.col(context), "_prev")
-    # eqNullSafe: a missing context is a context of its own.
-    changed = ~F.col("_prev").eqNullSafe(F.col(context))
+    """Number a user's sessions from 1; a new context starts a new session.
+
+    A missing user, block or context is a value of its own, so no row is lost and
+    rows without context that follow each other are one session.
+    """
+    context_of = F.struct(F.col(context).alias("c"))
+    prev = neighbour(events, [user], [block], order, context_of, "_prev")
+    changed = ~F.col("_prev.c").eqNullSafe(F.col(context))
     first = F.col("_prev").isNull()
     step = F.when(first | changed, 1).otherwise(0).cast("bigint")
     return running_total(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for tables that jobs write and read back.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may do
+    without, and gets a temporary folder; anywhere else executors would each write to
+    a disk of their own, so an unset folder is an error.
     """
     global _LOCAL_FOLDER
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _LOCAL_FOLDER is None:
         _LOCAL_FOLDER = tempfile.mkdtemp(prefix="unbrev-")
     return _LOCAL_FOLDER

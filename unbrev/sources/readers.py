@@ -38,10 +38,32 @@ class BadRows(ValueError):
     """A strict artifact has rows that do not fit its format."""
 
 
+# Lines of one split of a file at most, as a power of two.
+_LINE_BITS = 33
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_id, raw)``; ``line_id`` grows along the file, with gaps."""
-    return spark.read.text(path).select(
-        (F.monotonically_increasing_id() + 1).alias("line_id"), F.col("value").alias("raw")
+    """``(line_id, raw)``; ``line_id`` grows along the files in the order of their
+    names, with gaps.
+
+    The planner packs splits of files by size, so the splits are numbered by file and
+    offset, and lines within their split.  A ``user_id`` folder level is kept as a
+    column.
+    """
+    lines = spark.read.text(path)
+    users = [c for c in lines.columns if c == "user_id"]
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_offset"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).alias("_line"),
+        F.col("value").alias("raw"),
+        *users,
+    )
+    # One row per split of a file.
+    splits = placed.select("_file", "_offset").distinct()
+    nth = F.row_number().over(Window.orderBy("_file", "_offset")).cast("bigint") - 1
+    return placed.join(splits.withColumn("_nth", nth), ["_file", "_offset"]).select(
+        (F.col("_nth") * (1 << _LINE_BITS) + F.col("_line") + 1).alias("line_id"), "raw", *users
     )
 
 
@@ -211,8 +233,14 @@ def read_paradigms(spark: SparkSession, path: str, profile: Profile) -> DataFram
 
 def read_history(spark: SparkSession, path: str, user_id: str = "") -> DataFrame:
     """``skeleton, form, confirmed[, reverted]`` lines; bad rows are dropped,
-    a missing reverted count is 0, repeated pairs are summed."""
+    a missing reverted count is 0, repeated pairs are summed.
+
+    A folder with one level per user, as :func:`write_history` makes it, has the
+    users in it; for a plain file ``user_id`` names the user.
+    """
     lines = numbered_lines(spark, path).withColumn("cols", F.split("raw", "\t", -1))
+    if "user_id" not in lines.columns:
+        lines = lines.withColumn("user_id", F.lit(user_id))
 
     def count(i: int) -> Column:
         text = tx.strip(col_at(i))
@@ -220,12 +248,16 @@ def read_history(spark: SparkSession, path: str, user_id: str = "") -> DataFrame
 
     return (
         lines.filter((F.size("cols") >= 3) & count(2).isNotNull())
-        .groupBy(col_at(0).alias("skeleton"), col_at(1).alias("form"))
+        .groupBy(
+            F.col("user_id").cast("string").alias("user_id"),
+            col_at(0).alias("skeleton"),
+            col_at(1).alias("form"),
+        )
         .agg(
             F.sum(count(2)).alias("confirmed"),
             F.sum(F.coalesce(count(3), F.lit(0))).alias("reverted"),
         )
-        .select(F.lit(user_id).alias("user_id"), "skeleton", "form", "confirmed", "reverted")
+        .select("user_id", "skeleton", "form", "confirmed", "reverted")
     )
 
 
@@ -309,12 +341,17 @@ def read_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return lines.select(F.col("line").alias("name"), F.lit(kind).alias("kind"))
 
 
+def _log_rows(lines: DataFrame) -> DataFrame:
+    """The log writes milliseconds; everything after it takes timestamps."""
+    return lines.withColumn("ts", F.timestamp_millis("ts"))
+
+
 def read_acceptance_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).json(path)
+    return _log_rows(spark.read.schema(LOG_SCHEMA).json(path))
 
 
 def stream_acceptance_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(LOG_SCHEMA).json(path)
+    return _log_rows(spark.readStream.schema(LOG_SCHEMA).json(path))
 
 
 def read_lexicon_table(spark: SparkSession, path: str) -> DataFrame:

@@ -52,12 +52,11 @@ def write_ngrams(
 
 
 def write_history(history: DataFrame, path: str, mode: str = "error") -> None:
-    """Sorted text; pairs without evidence are left out."""
+    """Sorted text, one folder per user; pairs without evidence are left out."""
     kept = history.filter((F.col("confirmed") > 0) | (F.col("reverted") > 0))
-    lines = tab_lines(
-        kept, "skeleton", "form", F.col("confirmed").cast("string"), F.col("reverted").cast("string")
-    )
-    lines.orderBy("value").write.mode(mode).text(path)
+    value = F.concat_ws("\t", "skeleton", "form", F.col("confirmed").cast("string"), F.col("reverted").cast("string"))
+    lines = kept.select("user_id", value.alias("value"))
+    lines.orderBy("user_id", "value").write.mode(mode).partitionBy("user_id").text(path)
 
 
 def write_paradigms(wide: DataFrame, path: str, mode: str = "error") -> None:
