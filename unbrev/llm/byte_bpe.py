@@ -22,14 +22,39 @@ from pyspark.sql import types as T
 from unbrev.llm.common import parts_by_rows
 
 #: Distinct words a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Tokens decoded in one query.
 DECODED = 400_000
 #: Words of more bytes than this are contracted apart from the others, so that their
 #: many steps do not pass over the rows of short words.
 LONG = 64
 
+# Every step yields a row for each word that still has a pair: its tokens are spread
+# out to positions, joined with the merge table, and put together again.
 _ENCODE = """
+WITH RECURSIVE state(word, toks) AS (
+  SELECT word, list(tok ORDER BY pos) FROM start GROUP BY word
+  UNION ALL
+  SELECT state.word, list_concat(
+    list_concat(list_slice(toks, 1, spot - 1), [merged]), list_slice(toks, spot + 2, len(toks)))
+  FROM state JOIN (
+    SELECT word, (min(pair) & 4294967295)::INT AS spot, (min(pair) >> 32)::INT AS merged
+    FROM (
+      SELECT word, (merges.merged::BIGINT << 32) | pos AS pair
+      FROM (
+        SELECT word, unnest(list_slice(toks, 1, len(toks) - 1)) AS first,
+          unnest(list_slice(toks, 2, len(toks))) AS second, unnest(range(1, len(toks))) AS pos
+        FROM state
+      ) AS pairs JOIN merges USING (first, second)
+    )
+    GROUP BY word
+  ) AS best ON best.word = state.word
+)
+SELECT word, arg_min(toks, len(toks)) AS ids FROM state GROUP BY word ORDER BY word
+"""
+# The same for long words, whose steps would pile up: one row per position, and only
+# the rows that change are written.
+_ENCODE_LONG = """
 WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
   SELECT word, pos, tok FROM start
   UNION
@@ -91,7 +116,7 @@ class Tokenizer:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _arrow")
         self.db.unregister("_arrow")
 
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+    def _contract(self, words: list[bytes], query: str = _ENCODE) -> list[list[int]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate([[0], np.cumsum(sizes)])
         word = np.repeat(np.arange(len(words)), sizes)
@@ -103,7 +128,7 @@ class Tokenizer:
             }
         )
         self.db.register("start", start)
-        found = self.db.execute(_ENCODE).fetchall()
+        found = self.db.execute(query).fetchall()
         self.db.unregister("start")
         return [ids for _, ids in found]
 
@@ -118,10 +143,10 @@ class Tokenizer:
                 self.words[word] = str(whole)
             else:
                 (short if len(raw) <= LONG else long).append(word)
-        for group, size in ((long, 1_000), (short, 50_000)):
+        for group, size, query in ((long, 1_000, _ENCODE_LONG), (short, 50_000, _ENCODE)):
             for at in range(0, len(group), size):
                 part = group[at : at + size]
-                for word, ids in zip(part, self._contract([w.encode() for w in part])):
+                for word, ids in zip(part, self._contract([w.encode() for w in part], query)):
                     self.words[word] = ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> list[str]:
