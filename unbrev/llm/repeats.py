@@ -5,7 +5,7 @@ with a smaller id.  Three steps find those strings:
 
 * **Anchors.**  Every window of ``span`` bytes names the smallest hash of the ``ANCHOR``-byte
   strings in it.  Equal windows name equal anchors, so only windows whose anchor occurs
-  in several texts can repeat; about one position in eighteen is an anchor.
+  in several texts can repeat; about one position in sixteen is an anchor.
 * **Shards.**  The remaining windows are cut into short segments around their anchors and
   dealt out by anchor, equal segments as one.  A task takes the segments of many anchors
   as shards, each with its own Burrows-Wheeler transform.
@@ -34,20 +34,21 @@ from unbrev.llm.url_filter import bloom_filter, possible_hits
 from unbrev.session import settle
 
 SPAN = 50
-ANCHOR = 16
+ANCHOR = 20
 #: Text bytes whose anchors a task sends together, and that one bucket stands for.
 FLUSH_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 #: Segment bytes that are merged at once, and shards they are cut into.
 MERGE_BYTES = 1 << 20
 SHARDS = 4
-#: An anchor with more different segments than this has its windows grouped one by one.
-HOT_SEGMENTS = 4096
+#: An anchor that occurs in more places than this has its windows grouped one by one.
+HOT_PLACES = 20_000
 #: Ends a segment.  No byte of UTF-8 has this value; it sorts after all of them.
 END = 0xFF
 
 _BLOB = "kind int, bucket int, tag bigint, tags binary, owners binary, codes binary"
-_SEGMENT = "anchor bigint, seg_hash bigint, seg binary, tag bigint, doc bigint, start int"
+_SEGMENT = "anchor bigint, seg binary, tag bigint, doc bigint, start int"
+_RANGE = "tag bigint, low bigint, high bigint"
 
 
 # -- anchors -----------------------------------------------------------------
@@ -212,7 +213,7 @@ def repeated_anchors(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFr
 
 
 def segments(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
-    """``anchor, seg_hash, seg, tag, doc, start`` around the repeated anchors of
+    """``anchor, seg, tag, doc, start`` around the repeated anchors of
     ``texts (tag, doc, text, codes)``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,6 @@ def segments(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
                     wanted[span_of] = np.isin(codes[span_of], repeated)
                 start, length, own = start[wanted], length[wanted], own[wanted]
                 stop = start + length + span - 1
-                prefix = prefix_hash(data)
                 sizes = stop - start
                 first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = data[np.arange(first[-1]) + np.repeat(start - first[:-1], sizes)]
@@ -257,13 +257,12 @@ def segments(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor[start].view(np.int64)),
-                        pa.array(span_hash(prefix, start, stop).view(np.int64)),
                         seg,
                         part.column("tag").take(pa.array(own)),
                         part.column("doc").take(pa.array(own)),
                         pa.array((start - offsets[own]).astype(np.int32)),
                     ],
-                    ["anchor", "seg_hash", "seg", "tag", "doc", "start"],
+                    ["anchor", "seg", "tag", "doc", "start"],
                 )
 
     return texts.select("tag", "doc", "text", "codes").mapInArrow(cut, _SEGMENT)
@@ -367,14 +366,11 @@ def smallest_owner(
     return out
 
 
-def _runs(values: np.ndarray) -> bytes:
-    """Run-length form of a segment's smallest owners: (offset, owner) pairs."""
-    head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return np.stack([head, values[head]], 1).astype(np.int64).tobytes()
+def _merged(found: DataFrame, span: int) -> DataFrame:
+    """Removed ranges ``(tag, low, high)`` of segments, by the merge.
 
-
-def _merged(distinct: DataFrame, span: int) -> DataFrame:
-    """``(seg_hash, owners)`` of ``(anchor, seg_hash, seg, doc)``, by the merge."""
+    ``found`` has the segments of an anchor together, sorted by it.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -382,20 +378,19 @@ def _merged(distinct: DataFrame, span: int) -> DataFrame:
 
         def work() -> pa.RecordBatch:
             rows = pa.concat_tables(held)
-            data, offsets = byte_buffer(rows.column("seg"))
+            doc = rows.column("doc").to_numpy()
+            # Equal segments are one, of their smallest document.
+            coded = rows.column("seg").combine_chunks().dictionary_encode()
+            kind = coded.indices.to_numpy()
+            owner = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+            np.minimum.at(owner, kind, doc)
+            data, offsets = byte_buffer(coded.dictionary)
             sizes = np.diff(offsets)
             first = offsets + np.arange(len(offsets))
             text = np.full(first[-1], END, np.uint8)
-            number = np.repeat(np.arange(len(sizes)), sizes)
-            text[np.arange(len(data)) + number] = data
-            least = smallest_owner(text, first, rows.column("doc").to_numpy(), span)
-            owners = [
-                _runs(least[a : b - span]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())
-            ]
-            return pa.RecordBatch.from_arrays(
-                [rows.column("seg_hash").combine_chunks(), pa.array(owners, pa.binary())],
-                ["seg_hash", "owners"],
-            )
+            text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+            least = smallest_owner(text, first, owner, span)
+            return _gone(rows, least, first[kind], sizes[kind] - span + 1, span)
 
         for rows, _ in group_runs(batches, ["anchor"]):
             held.append(rows)
@@ -406,41 +401,55 @@ def _merged(distinct: DataFrame, span: int) -> DataFrame:
         if held:
             yield work()
 
-    return (
-        distinct.select("anchor", "seg_hash", "seg", "doc")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInArrow(merge, "seg_hash bigint, owners binary")
+    return found.select("anchor", "seg", "tag", "doc", "start").mapInArrow(merge, _RANGE)
+
+
+def _gone(
+    rows: pa.Table, least: np.ndarray, first: np.ndarray, windows: np.ndarray, span: int
+) -> pa.RecordBatch:
+    """Ranges of the rows' windows whose smallest owner is an earlier document.
+
+    Row ``i`` has its windows' owners in ``least`` from ``first[i]``.
+    """
+    row = np.repeat(np.arange(len(windows)), windows)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    gone = least[first[row] + at] < rows.column("doc").to_numpy()[row]
+    edge = np.zeros(len(row), bool)
+    edge[1:] = (row[1:] != row[:-1]) | (gone[1:] != gone[:-1])
+    edge[:1] = True
+    begins = np.flatnonzero(edge)
+    ends = np.append(begins[1:], len(row))
+    begins, ends = begins[gone[begins]], ends[gone[begins]]
+    own = row[begins]
+    low = rows.column("start").to_numpy()[own] + at[begins]
+    return pa.RecordBatch.from_arrays(
+        [
+            rows.column("tag").combine_chunks().take(pa.array(own)),
+            pa.array(low, pa.int64()),
+            pa.array(low + (ends - begins) + span - 1, pa.int64()),
+        ],
+        ["tag", "low", "high"],
     )
 
 
-def _one_by_one(distinct: DataFrame, span: int) -> DataFrame:
-    """``(seg_hash, owners)`` for anchors with very many segments.
+def _one_by_one(found: DataFrame, span: int) -> DataFrame:
+    """Removed ranges of segments whose anchors occur in very many places.
 
-    Their windows are grouped by their whole bytes, with the smallest owner summed up
-    before the shuffle, so an anchor may have any number of them.
+    Their windows are grouped by their whole bytes, with the smallest document summed
+    up before the shuffle, so an anchor may have any number of them.
     """
     at = F.sequence(F.lit(1), F.length("seg") - span + 1)
-    windows = distinct.select("seg_hash", "seg", "doc", F.posexplode(at).alias("offset", "_at")).select(
-        "seg_hash", "doc", "offset", F.substring("seg", F.col("_at"), F.lit(span)).alias("window")
+    windows = found.select("tag", "doc", "start", "seg", F.explode(at).alias("_at")).select(
+        "tag",
+        "doc",
+        (F.col("start") + F.col("_at") - 1).cast("bigint").alias("low"),
+        F.substring("seg", F.col("_at"), F.lit(span)).alias("window"),
     )
     least = windows.groupBy("window").agg(F.min("doc").alias("owner"))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners = [
-                _runs(np.array([x["owner"] for x in sorted(each.as_py(), key=lambda x: x["offset"])], np.int64))
-                for each in batch.column("each")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("seg_hash"), pa.array(owners, pa.binary())], ["seg_hash", "owners"]
-            )
-
     return (
-        windows.join(least, "window")
-        .groupBy("seg_hash")
-        .agg(F.collect_list(F.struct("offset", "owner")).alias("each"))
-        .mapInArrow(runs, "seg_hash bigint, owners binary")
+        windows.join(least.hint("merge"), "window")
+        .filter("owner < doc")
+        .select("tag", "low", (F.col("low") + span).alias("high"))
     )
 
 
@@ -473,43 +482,17 @@ def repeated_spans(tagged: DataFrame, classes: DataFrame, span: int = SPAN) -> D
     texts = maybe.drop("_k").join(own.hint("merge"), ["tag", "doc_id"])
     found = settle(segments(texts, buckets, span))
 
-    distinct = settle(
-        found.groupBy("anchor", "seg_hash", "seg").agg(F.min("doc").alias("doc"))
-    )
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
-    sized = distinct.join(sizes.hint("merge"), "anchor")
-    plain = sized.filter(F.col("_n") <= HOT_SEGMENTS)
-    hot = sized.filter(F.col("_n") > HOT_SEGMENTS)
-    owners = _merged(plain, span).unionByName(_one_by_one(hot, span))
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tag, doc, start, size = (
-                batch.column(c).to_numpy() for c in ("tag", "doc", "start", "windows")
-            )
-            rows, low, high = [], [], []
-            for i, owner in enumerate(batch.column("owners")):
-                pairs = np.frombuffer(owner.as_buffer(), np.int64).reshape(-1, 2)
-                ends = np.append(pairs[1:, 0], size[i])
-                gone = pairs[:, 1] < doc[i]
-                rows.extend([i] * int(gone.sum()))
-                low.extend((pairs[gone, 0] + start[i]).tolist())
-                high.extend((ends[gone] + start[i] + span - 1).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tag[np.array(rows, np.int64)]), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-                ["tag", "low", "high"],
-            )
-
-    members = found.select(
-        "seg_hash", "tag", "doc", "start", (F.length("seg") - span + 1).cast("bigint").alias("windows")
+    places = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    hot = settle(places.filter(F.col("_n") > HOT_PLACES).select("anchor"))
+    plain = (
+        found.repartition("anchor")
+        .join(hot, "anchor", "left_anti")
+        .sortWithinPartitions("anchor")
     )
-    return (
-        members.join(owners.hint("merge"), "seg_hash")
-        .select("tag", "doc", "start", "windows", "owners")
-        .mapInArrow(ranges, "tag bigint, low bigint, high bigint")
-        .groupBy("tag")
-        .agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    ranges = _merged(plain, span).unionByName(
+        _one_by_one(found.join(hot, "anchor", "left_semi"), span)
     )
+    return ranges.groupBy("tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def text_classes(tagged: DataFrame) -> DataFrame:
