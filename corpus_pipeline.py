@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.llm import byte_bpe, language, mixing, near_text, repeats
-from unbrev.llm.common import crc_remainder
+from unbrev.llm.common import crc_remainder, small_batches
 from unbrev.llm.queries import BPE_PATTERN, BPE_RANKS, PIECES
 from unbrev.session import shared_folder
 
@@ -25,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model learns from the documents themselves, but those held out.
     """
+    small_batches(spark)
     held_out = crc_remainder(F.col("doc_id"), 4) == 2
     model = language.fit(language.training_rows(docs, held_out), PIECES)
     sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)
@@ -33,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: that with the smallest id."""
+    small_batches(spark)
     groups = near_text.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -40,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out bytes that documents with smaller ids have too."""
+    small_batches(spark)
     return repeats.without_repeats(docs)
 
 
@@ -50,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of every document, encoded and decoded."""
+    small_batches(spark)
     return byte_bpe.digests(docs.select("doc_id", "source", "lang", "text"), BPE_RANKS, BPE_PATTERN)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.session import settle
@@ -25,8 +25,21 @@ _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
 
-def table(spark, folder: str, name: str) -> DataFrame:
+#: Rows of whole texts that go to a Python worker at once.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts sent to Python workers in small batches, which bounds their memory.
+
+    A session-level SQL option; results do not depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table."""
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
