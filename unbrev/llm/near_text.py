@@ -89,12 +89,11 @@ def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> D
 
 
 def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``(key, rep, sig)``: the postings that can lead to a pair.
+    """``(key, rep)``: the postings that can lead to a pair.
 
-    Of each document its rarest coordinate-value pairs, without those that nobody
-    shares.
+    Of each set its rarest coordinate-value pairs, without those that nobody shares.
     """
-    spread = "rep bigint, key bigint"
+    spread = "rep bigint, h1 bigint, key bigint"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +102,16 @@ def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column("rep").to_numpy(), coordinates)),
+                    pa.array(np.repeat(batch.column("h1").to_numpy(), coordinates)),
                     pa.array(keys.ravel().view(np.int64)),
                 ],
-                ["rep", "key"],
+                ["rep", "h1", "key"],
             )
 
-    posted = classes.select("rep", "sig").mapInArrow(post, spread)
+    posted = classes.select("rep", "h1", "sig").mapInArrow(post, spread)
     lengths = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_length"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("_length", "key"))
+    # A document with several rows has several sets.
+    rank = F.row_number().over(Window.partitionBy("rep", "h1").orderBy("_length", "key"))
     return (
         posted.join(lengths.hint("merge"), "key")
         .withColumn("_rank", rank)
