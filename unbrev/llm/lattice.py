@@ -49,6 +49,11 @@ class Hashing(NamedTuple):
     probes: int = PROBES
     seed: int = 11
 
+    def step(self, size: int) -> float:
+        """Scale of the lattice: ``scale`` for 64 dimensions, and for others as the
+        length of a projected difference goes."""
+        return self.scale * (64 / size) ** 0.5
+
     def projections(self, size: int) -> np.ndarray:
         """For each table and block an orthonormal basis of eight directions."""
         rng = np.random.default_rng(self.seed)
@@ -96,7 +101,7 @@ def cell_keys(vectors: np.ndarray, hashing: Hashing) -> np.ndarray:
     out = np.empty((len(vectors), hashing.tables, 1 + hashing.probes), np.uint64)
     rows = np.arange(len(vectors))
     for t, basis in enumerate(hashing.projections(vectors.shape[1])):
-        y = (vectors @ basis.T / hashing.scale).reshape(len(vectors), hashing.blocks, DIMENSIONS)
+        y = (vectors @ basis.T / hashing.step(vectors.shape[1])).reshape(len(vectors), hashing.blocks, DIMENSIONS)
         cell = np.stack([nearest_point(y[:, b]) for b in range(hashing.blocks)], 1)
         gain = np.concatenate([(y[:, b] - cell[:, b]) @ roots.T for b in range(hashing.blocks)], 1)
         best = np.argsort(-gain, axis=1, kind="stable")[:, : hashing.probes]
