@@ -8,7 +8,7 @@ with a smaller id.  Three steps find those strings:
   in several texts can repeat; about one position in sixteen is an anchor.
 * **Shards.**  The remaining windows are cut into short segments around their anchors and
   dealt out by anchor, equal segments as one.  A task takes the segments of many anchors
-  as shards, each with its own Burrows-Wheeler transform.
+  as two shards, each with its own Burrows-Wheeler transform.
 * **Merge.**  The interleave of the shards' suffixes starts as a concatenation and is
   refined one character a round: reading the transforms in interleave order and dealing
   the entries to their symbols orders the suffixes by one character more.  No suffix is
@@ -38,15 +38,16 @@ ANCHOR = 20
 #: Text bytes whose anchors a task sends together, and that one bucket stands for.
 FLUSH_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
-#: Segment bytes that are merged at once, and shards they are cut into.
+#: Segment bytes that are merged at once, from two shards.
 MERGE_BYTES = 1 << 20
-SHARDS = 4
 #: An anchor that occurs in more places than this has its windows grouped one by one.
 HOT_PLACES = 20_000
 #: Ends a segment.  No byte of UTF-8 has this value; it sorts after all of them.
 END = 0xFF
 
 _BLOB = "kind int, bucket int, tag bigint, tags binary, owners binary, codes binary"
+_ANSWER = "part int, tags binary, codes binary"
+_KNOWN = "tag bigint, codes binary"
 _SEGMENT = "anchor bigint, seg binary, tag bigint, doc bigint, start int"
 _RANGE = "tag bigint, low bigint, high bigint"
 
@@ -91,7 +92,8 @@ def _anchor_blobs(texts: DataFrame, buckets: int, span: int) -> DataFrame:
 
     ``kind`` 0: the anchors of one bucket in a stretch of texts, each with its owner.
     An anchor that several texts of the stretch have is known to repeat; it is sent
-    once, without owner (0), and its owners are told at once (``kind`` 1).
+    once, without owner (0), and its owners are told at once (``kind`` 1, ``bucket`` the
+    part that gathers what a text is told).
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,15 @@ def _anchor_blobs(texts: DataFrame, buckets: int, span: int) -> DataFrame:
             starts = np.flatnonzero(first)
             count = np.diff(np.append(starts, len(code)))
             shared = np.repeat(count > 1, count)
-            yield from _told(names[owner[shared]], code[shared])
+            told = _told(names[owner[shared]], code[shared], buckets)
+            yield _blob(
+                kind=[1] * len(told),
+                bucket=[part for part, *_ in told],
+                tag=[0] * len(told),
+                tags=[tags for _, tags, _ in told],
+                owners=[None] * len(told),
+                codes=[codes for *_, codes in told],
+            )
             send = first
             code, owner, shared = code[send], owner[send], shared[send]
             names = np.concatenate([[0], names])
@@ -160,40 +170,33 @@ def _blob(**rows: list) -> pa.RecordBatch:
     )
 
 
-def _told(tags: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``kind`` 1 rows: the repeated anchors of each text."""
-    order = np.argsort(tags, kind="stable")
-    tags, codes = tags[order], codes[order]
-    starts = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]])) if len(tags) else []
-    for at in range(0, len(starts), 2000):
-        own = list(starts[at : at + 2000])
-        ends = [*own[1:], starts[at + 2000] if at + 2000 < len(starts) else len(tags)]
-        n = len(own)
-        yield _blob(
-            kind=[1] * n,
-            bucket=[-1] * n,
-            tag=[int(tags[s]) for s in own],
-            tags=[None] * n,
-            owners=[None] * n,
-            codes=[codes[s:e].tobytes() for s, e in zip(own, ends)],
-        )
+def _told(tags: np.ndarray, codes: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """Repeated anchors and the texts that have them, by part of the texts."""
+    part = (tags.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [
+        (int(p), tags[order[cuts[p] : cuts[p + 1]]].tobytes(), codes[order[cuts[p] : cuts[p + 1]]].tobytes())
+        for p in np.flatnonzero(np.diff(cuts))
+    ]
 
 
 def repeated_anchors(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
     """``(tag, codes)``: for each text its anchors that other texts have too.
 
-    ``texts (tag, text)`` may repeat a tag, which counts once.
+    ``texts (tag, text)`` may repeat a tag, which counts once.  Answers go back packed,
+    one row for a bucket and a part of the texts.
     """
     blobs = settle(_anchor_blobs(texts, buckets, span))
 
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, tags, bucket = [], [], 0
-        for part in parts:
-            for own, owners, code in zip(part.column("tags"), part.column("owners"), part.column("codes")):
+        for row in rows:
+            for own, owners, code in zip(row.column("tags"), row.column("owners"), row.column("codes")):
                 names = np.frombuffer(own.as_buffer(), np.int64)
                 tags.append(names[np.frombuffer(owners.as_buffer(), np.uint32)])
                 codes.append(np.frombuffer(code.as_buffer(), np.uint32))
-            bucket = part.column("bucket")[0].as_py()
+            bucket = row.column("bucket")[0].as_py()
         code, tag = np.concatenate(codes), np.concatenate(tags)
         order = np.argsort(code, kind="stable")
         code, tag = code[order], tag[order]
@@ -202,11 +205,37 @@ def repeated_anchors(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFr
         several = np.minimum.reduceat(tag, starts) != np.maximum.reduceat(tag, starts)
         keep = np.repeat(several, count) & (tag != 0)
         full = code[keep].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-        yield from _told(tag[keep], full)
+        told = _told(tag[keep], full, buckets)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in told], pa.int32()),
+                pa.array([x[1] for x in told], pa.binary()),
+                pa.array([x[2] for x in told], pa.binary()),
+            ],
+            ["part", "tags", "codes"],
+        )
 
-    sent = blobs.filter("kind = 0").groupBy("bucket").applyInArrow(compare, _BLOB)
-    told = blobs.filter("kind = 1").unionByName(sent).select("tag", "codes")
-    return told.groupBy("tag").agg(F.collect_list("codes").alias("codes"))
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags, codes = [], []
+        for row in rows:
+            tags.extend(np.frombuffer(x.as_buffer(), np.int64) for x in row.column("tags"))
+            codes.extend(np.frombuffer(x.as_buffer(), np.uint64) for x in row.column("codes"))
+        tag, code = np.concatenate(tags), np.concatenate(codes)
+        order = np.argsort(tag, kind="stable")
+        tag, code = tag[order], code[order]
+        starts = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
+        ends = np.append(starts[1:], len(tag))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(tag[starts]),
+                pa.array([code[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            ],
+            ["tag", "codes"],
+        )
+
+    sent = blobs.filter("kind = 0").groupBy("bucket").applyInArrow(compare, _ANSWER)
+    told = blobs.filter("kind = 1").select(F.col("bucket").alias("part"), "tags", "codes")
+    return told.unionByName(sent).groupBy("part").applyInArrow(gather, _KNOWN)
 
 
 # -- segments -----------------------------------------------------------------
@@ -244,7 +273,7 @@ def segments(texts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
                 edge = np.searchsorted(own, np.arange(part.num_rows + 1))
                 for row in range(part.num_rows):
                     span_of = slice(edge[row], edge[row + 1])
-                    repeated = np.frombuffer(b"".join(known[row].as_py()), np.uint64)
+                    repeated = np.frombuffer(known[row].as_buffer(), np.uint64)
                     wanted[span_of] = np.isin(codes[span_of], repeated)
                 start, length, own = start[wanted], length[wanted], own[wanted]
                 stop = start + length + span - 1
@@ -277,6 +306,8 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``text`` holds segments that each end with :data:`END`.
     """
     n = len(text)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     padded = np.concatenate([text, np.full(64, END, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
@@ -305,59 +336,54 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_transforms(
-    transforms: list[np.ndarray], rounds: int
+    one: np.ndarray, two: np.ndarray, rounds: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the suffixes of shards by their first ``rounds`` bytes.
+    """Interleave the suffixes of two shards by their first ``rounds`` bytes.
 
-    Gives the shard of each suffix in merged order; where a new interval begins; and
-    for each place the common prefix with the suffix before (``rounds`` where they
-    have not parted).  Ends of segments differ from each other.
+    Gives for each suffix in merged order whether it is of the second shard; where a
+    new interval begins; and for each place the common prefix with the suffix before
+    (``rounds`` where they have not parted).  Ends of segments differ from each other.
     """
-    joined = np.concatenate(transforms)
-    n = len(joined)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    ends = int((joined == END).sum())
-    tail = np.concatenate(
-        [np.full(int((t == END).sum()), i, np.uint8) for i, t in enumerate(transforms)]
-    )
+    n = len(one) + len(two)
+    second = np.arange(n) >= len(one)
+    tail = np.arange(int((one == END).sum()) + int((two == END).sum())) >= int((one == END).sum())
+    body = n - len(tail)
     head = np.zeros(n, bool)
     head[0] = True
     common = np.full(n, rounds, np.uint8)
     common[0] = 0
+    symbol = np.empty(n, np.uint8)
     for depth in range(rounds):
-        symbol = np.empty(n, np.uint8)
-        symbol[np.argsort(shard, kind="stable")] = joined
-        block = np.cumsum(head, dtype=np.int32)
+        symbol[~second] = one
+        symbol[second] = two
         order = np.argsort(symbol, kind="stable")
-        symbol, block, shard = symbol[order], block[order], shard[order]
-        shard[n - ends :] = tail
+        block = np.cumsum(head, dtype=np.int32)[order]
+        second = second[order]
+        second[body:] = tail
+        dealt = symbol[order]
         parted = np.ones(n, bool)
-        parted[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        parted[n - ends :] = True
+        np.not_equal(block[1:], block[:-1], out=parted[1:])
+        parted[1:] |= dealt[1:] != dealt[:-1]
+        parted[body:] = True
         common[parted & ~head] = depth
         head |= parted
-    return shard, head, common
+    return second, head, common
 
 
 def smallest_owner(
-    text: np.ndarray, first: np.ndarray, owner: np.ndarray, span: int, shards: int = SHARDS
+    text: np.ndarray, first: np.ndarray, owner: np.ndarray, span: int
 ) -> np.ndarray:
     """For each byte of the segments: the smallest owner of the ``span`` bytes there.
 
     ``first`` has the bounds of the segments, which end with :data:`END`.  Places
     with fewer bytes than that before their segment's end get their own owner.
     """
-    number = len(first) - 1
-    shards = max(1, min(shards, number))
-    cuts = first[np.linspace(0, number, shards + 1).astype(np.int64)]
-    orders, transforms = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        order, transform = shard_transform(text[a:b])
-        orders.append(order + a)
-        transforms.append(transform)
-    shard, head, _ = merge_transforms(transforms, span)
+    middle = first[(len(first) - 1) // 2]
+    (order, one), (rest, two) = shard_transform(text[:middle]), shard_transform(text[middle:])
+    second, head, _ = merge_transforms(one, two, span)
     place = np.empty(len(text), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate(orders)
+    place[~second] = order
+    place[second] = rest + middle
     own = np.repeat(owner, np.diff(first))
     starts = np.flatnonzero(head)
     least = np.minimum.reduceat(own[place], starts)
