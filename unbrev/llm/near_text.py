@@ -4,12 +4,13 @@ Every document is posted under each of its (coordinate, value) pairs.  Two docum
 whose signatures agree on ``matches`` of ``coordinates`` values share one of the
 ``coordinates - matches + 1`` rarest pairs of either, so only those prefixes are
 joined and the long posting lists are skipped.  Collisions of the pairs that meet are
-counted; those above the threshold are confirmed on the full shingle sets.
+counted on further coordinates, which are not posted; pairs above the threshold are
+confirmed on the full shingle sets.
 
-Links matter only between documents that are not connected yet.  A first round checks
-each document against the smallest one of its lists, which connects large groups with
-as many checks as they have members; a second round checks all pairs of a list that
-are still in different components.
+Links matter only between documents that are not connected yet.  First each document
+is checked against the smallest one of its lists, then against the one that agrees with
+it most, which connects large groups with a few checks a member; the last round checks
+all pairs of a list that are still in different components, so no link is missed.
 """
 
 from __future__ import annotations
@@ -35,14 +36,23 @@ from unbrev.llm.common import (
 from unbrev.llm.url_filter import bloom_filter, possible_hits
 from unbrev.session import settle
 
+#: Coordinates that documents are posted under, and how many of them a pair that is
+#: similar enough agrees on: with 0.8 of the shingles shared, 26 are expected, and fewer
+#: than 16 come once in 20 000 pairs.
 COORDINATES = 32
 MATCHES = 16
+#: Further coordinates, of 8 bits each, that pairs of a list are counted on, and the
+#: threshold: 307 are expected, fewer than 276 come once in 20 000 pairs.
+COUNTED = 384
+COUNTED_MATCHES = 276
 SHINGLE_WORDS = 5
 #: Similarity of linked documents, in hundredths.
 SIMILARITY = 80
 BLOCK_ROWS = 512
+#: Rounds of checks against the best partner before all remaining pairs.
+BEST_ROUNDS = 1
 
-_SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary"
+_SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, fine binary"
 
 
 def _seeds(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +61,12 @@ def _seeds(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, sig`` of every row of ``(doc_id, text)``.
+    """``doc_id, n_shingles, h1, h2, sig, fine`` of every row of ``(doc_id, text)``.
 
     ``h1`` and ``h2`` together tell shingle sets apart; ``sig`` holds one 32-bit
-    value per coordinate, and is null for an empty set.
+    value per coordinate, ``fine`` the low 8 bits of each counted one.
     """
-    factor, shift = _seeds(coordinates)
+    factor, shift = _seeds(coordinates + COUNTED)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,12 +75,12 @@ def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> D
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
                 h1, h2 = np.zeros((2, len(sizes)), np.uint64)
-                sig = np.zeros((len(sizes), coordinates), np.uint32)
+                sig = np.zeros((len(sizes), coordinates + COUNTED), np.uint32)
                 if len(full):
                     at = first[:-1][full]
                     h1[full] = np.add.reduceat(mixed(values + np.uint64(1)), at)
                     h2[full] = np.bitwise_xor.reduceat(mixed(values ^ shift[0]), at)
-                    for k in range(coordinates):
+                    for k in range(coordinates + COUNTED):
                         hashed = (values * factor[k] + shift[k]) >> np.uint64(32)
                         sig[full, k] = np.minimum.reduceat(hashed, at)
                 yield pa.RecordBatch.from_arrays(
@@ -79,9 +89,10 @@ def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> D
                         pa.array(sizes, pa.int64()),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
-                        binaries(sig),
+                        binaries(sig[:, :coordinates]),
+                        binaries(sig[:, coordinates:].astype(np.uint8)),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                    ["doc_id", "n_shingles", "h1", "h2", "sig", "fine"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -149,37 +160,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     )
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """The pairs whose signatures agree on enough coordinates."""
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that agree on enough of the counted coordinates."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = fixed_binary(batch.column("sig_a"), np.uint32, coordinates)
-            b = fixed_binary(batch.column("sig_b"), np.uint32, coordinates)
-            chosen = pa.array((a == b).sum(axis=1) >= matches)
+            a = fixed_binary(batch.column("fine_a"), np.uint8, COUNTED)
+            b = fixed_binary(batch.column("fine_b"), np.uint8, COUNTED)
+            chosen = pa.array((a == b).sum(axis=1) >= COUNTED_MATCHES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(chosen), batch.column("b").filter(chosen)], ["a", "b"]
             )
 
-    a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    a = classes.select(F.col("rep").alias("a"), F.col("fine").alias("fine_a"))
+    b = classes.select(F.col("rep").alias("b"), F.col("fine").alias("fine_b"))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .select("a", "b", "sig_a", "sig_b")
+        pairs.join(a.hint("merge"), "a")
+        .join(b.hint("merge"), "b")
+        .select("a", "b", "fine_a", "fine_b")
         .mapInArrow(count, "a bigint, b bigint")
     )
 
 
-def _crossing(
-    lists: DataFrame, coordinates: int, matches: int, block_rows: int
-) -> DataFrame:
-    """Pairs of different components that share a list and agree on enough
-    coordinates, from ``lists (key, rep, component, sig)``."""
+def _crossing(lists: DataFrame, block_rows: int, best: bool) -> DataFrame:
+    """Pairs of different components that share a list and agree on enough of the
+    counted coordinates, from ``lists (key, rep, component, fine)``.
+
+    With ``best`` only the partner that agrees most, for each document and block.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in group_runs(batches, ["key", "_lo", "_hi"]):
-            sig = fixed_binary(rows.column("sig"), np.uint32, coordinates)
+            fine = fixed_binary(rows.column("fine"), np.uint8, COUNTED)
             rep, comp, own, lo, hi = (
                 rows.column(c).to_numpy() for c in ("rep", "component", "_own", "_lo", "_hi")
             )
@@ -187,23 +199,45 @@ def _crossing(
             for start, stop in zip(cuts[:-1], cuts[1:]):
                 left = start + np.flatnonzero(own[start:stop] == lo[start])
                 right = start + np.flatnonzero(own[start:stop] == hi[start])
-                for i in left:
-                    js = right[(comp[right] != comp[i]) & (rep[right] != rep[i])]
-                    if lo[start] == hi[start]:
-                        js = js[rep[js] > rep[i]]
-                    js = js[(sig[js] == sig[i]).sum(axis=1) >= matches]
-                    found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in js)
+                sides = [(left, right)] if lo[start] == hi[start] else [(left, right), (right, left)]
+                for mine, others in sides if best else sides[:1]:
+                    for i in mine:
+                        js = others[(comp[others] != comp[i]) & (rep[others] != rep[i])]
+                        if not len(js):
+                            continue
+                        agree = (fine[js] == fine[i]).sum(axis=1)
+                        enough = agree >= COUNTED_MATCHES
+                        js, agree = js[enough], agree[enough]
+                        if best and len(js):
+                            js = js[np.lexsort((rep[js], -agree))[:1]]
+                        found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in js)
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     dealt = in_blocks(lists, "key", "rep", block_rows)
     return (
-        dealt.select("key", "rep", "component", "sig", "_own", "_lo", "_hi")
+        dealt.select("key", "rep", "component", "fine", "_own", "_lo", "_hi")
         .mapInArrow(meet, "a bigint, b bigint")
         .distinct()
     )
 
 
+def _mixed_lists(lists: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``key, rep, component, fine`` of the lists that hold several components."""
+    tagged = lists.join(_placed(classes.select("rep"), components(linked)), "rep")
+    mixed_keys = (
+        tagged.groupBy("key")
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        .filter("_low != _high")
+        .select("key")
+    )
+    return (
+        tagged.join(mixed_keys, "key", "left_semi")
+        .join(classes.select("rep", "fine").hint("merge"), "rep")
+        .select("key", "rep", "component", "fine")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -227,7 +261,9 @@ def near_duplicates(
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(
         usable.groupBy("h1", "h2", "n_shingles").agg(
-            F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")
+            F.min("doc_id").alias("rep"),
+            F.any_value("sig").alias("sig"),
+            F.any_value("fine").alias("fine"),
         )
     )
     lists = settle(prefixes(classes, coordinates, matches))
@@ -240,38 +276,30 @@ def near_duplicates(
         .select(F.col("rep").alias("a"), "b")
         .distinct()
     )
-    near = settle(_agreeing(stars, classes, coordinates, matches).distinct())
+    near = settle(_agreeing(stars, classes).distinct())
     linked = settle(confirm(near, _texts(docs, near), words, similarity))
 
-    # Round 2: pairs of a list that are in different components after that.
-    placed = _placed(classes.select("rep"), components(linked))
-    tagged = lists.join(placed, "rep")
-    mixed_lists = (
-        tagged.groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        .filter("_low != _high")
-        .select("key")
-    )
-    rest = (
-        tagged.join(mixed_lists, "key", "left_semi")
-        .join(classes.select("rep", "sig").hint("merge"), "rep")
-        .select("key", "rep", "component", "sig")
-    )
-    tried = near.select("a", "b")
-    crossing = settle(_crossing(rest, coordinates, matches, block_rows).join(tried, ["a", "b"], "left_anti"))
-    more = confirm(crossing, _texts(docs, crossing), words, similarity)
+    # Then each document against what agrees with it most, and at last all pairs of a
+    # list whose documents are in different components even then.
+    tried = near
+    for best in (*[True] * BEST_ROUNDS, False):
+        rest = _mixed_lists(lists, classes, linked)
+        crossing = _crossing(rest, block_rows, best)
+        crossing = settle(crossing.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        more = settle(confirm(crossing, _texts(docs, crossing), words, similarity))
+        linked, tried = linked.unionByName(more), tried.unionByName(crossing)
 
     # A document with several rows joins the classes of all of them.
     owned = (
         usable.select("doc_id", "h1", "h2", "n_shingles")
-        .join(classes.drop("sig").hint("merge"), ["h1", "h2", "n_shingles"])
+        .join(classes.drop("sig", "fine").hint("merge"), ["h1", "h2", "n_shingles"])
         .select("doc_id", "rep")
         .distinct()
     )
     first = owned.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("_last"))
     several = first.filter("b != _last").join(owned, "doc_id").filter("rep != b")
     groups = components(
-        linked.unionByName(more).unionByName(several.select(F.col("rep").alias("a"), "b"))
+        linked.unionByName(several.select(F.col("rep").alias("a"), "b"))
     )
     by_doc = first.join(groups.withColumnRenamed("node", "b"), "b", "left").select(
         "doc_id", F.coalesce("component", "b").alias("_found")
