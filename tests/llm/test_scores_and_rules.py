@@ -95,7 +95,7 @@ def test_ratio_equals_brute_force(spark):
     docs = spark.createDataFrame(good + bad, "doc_id bigint, text string")
     trusted = spark.createDataFrame([(i,) for i in range(4)], "doc_id bigint")
     (ratios,) = ngram_ratio.log_ratios(docs, trusted).first()
-    numbers = docs.select("doc_id", ngram_ratio.features(ngram_ratio.words_of(F.col("text"))).alias("f"))
+    numbers = docs.select("doc_id", ngram_ratio.features(ngram_ratio.word_hashes(F.col("text"))).alias("f"))
     sets = {r.doc_id: r.f for r in numbers.collect()}
     raw = Counter(x for f in sets.values() for x in f)
     target = Counter(x for i in range(4) for x in sets[i])

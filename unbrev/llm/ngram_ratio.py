@@ -26,7 +26,6 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = " \t\n\x0b\f\r"
 
 
@@ -35,28 +34,45 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, in order."""
-    return F.filter(F.split(text, SEPARATOR_CLASS + "+"), lambda w: w != "")
+def word_hashes(text: Column) -> Column:
+    """Hashes of the words of a text, in order; everything else is made from these."""
+    trimmed = F.btrim(text, F.lit(_GAPS))
+    words = F.when(trimmed != "", F.split(trimmed, SEPARATOR_CLASS + "+"))
+    none = F.array().cast("array<bigint>")
+    return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), none)
 
 
-def features(words: Column) -> Column:
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _pair(hashes: Column, h: Column, i: Column) -> Column:
+    """Feature of a word and the next one; null for the last word."""
+    following = F.get(hashes, i + 1)
+    return F.when(following.isNotNull(), _bucket(F.xxhash64(h, following)))
+
+
+def features(hashes: Column) -> Column:
     """Feature numbers of all words and all pairs of neighbouring words."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    pair = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(BUCKETS)).cast("int"),
-    )
-    return F.concat(single, pair)
+    pairs = F.transform(hashes, lambda h, i: _pair(hashes, h, i))
+    return F.concat(F.transform(hashes, _bucket), F.array_compact(pairs))
+
+
+def mean_ratio(hashes: Column, ratios: Column) -> Column:
+    """Mean log ratio of the features of a text; null without words."""
 
+    def both(h: Column, i: Column) -> Column:
+        return F.get(ratios, _bucket(h)) + F.coalesce(F.get(ratios, _pair(hashes, h, i)), F.lit(0.0))
 
-def repeated_words(words: Column) -> Column:
+    total = F.aggregate(F.transform(hashes, both), F.lit(0.0), lambda a, x: a + x)
+    return total / F.nullif(2 * F.size(hashes) - 1, F.lit(-1))
+
+
+def repeated_words(hashes: Column) -> Column:
     """Number of words in ``WINDOW``-word windows that occur twice or more."""
+    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
     windows = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.struct(
-            F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)]).alias("h"), i.alias("at")
-        ),
+        starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])
     )
 
     def places(ordered: Column) -> Column:
@@ -72,20 +88,20 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(F.transform(at, room), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     def count(all_windows: Column) -> Column:
-        hashes = F.transform(all_windows, lambda x: x["h"])
-        none = F.size(F.array_distinct(hashes)) == F.size(all_windows)
+        none = F.size(F.array_distinct(all_windows)) == F.size(all_windows)
+        placed = F.transform(all_windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
         return F.when(none, F.lit(0).cast("bigint")).otherwise(
-            let(F.array_sort(all_windows), lambda o: let(places(o), covered))
+            let(F.array_sort(placed), lambda o: let(places(o), covered))
         )
 
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("bigint")).otherwise(let(windows, count))
+    return F.when(F.size(hashes) <= WINDOW, F.lit(0).cast("bigint")).otherwise(let(windows, count))
 
 
 def feature_counts(texts: DataFrame, name: str) -> DataFrame:
     """``(feature, name)``: at most ``BUCKETS`` rows, summed up in the map tasks."""
-    words = texts.select(words_of(F.translate("text", _UPPER, _LOWER)).alias("_words"))
+    numbers = let(word_hashes(F.col("text")), features)
     return (
-        words.select(F.explode(features(F.col("_words"))).alias("feature"))
+        texts.select(F.explode(numbers).alias("feature"))
         .groupBy("feature")
         .agg(F.count(F.lit(1)).alias(name))
     )
@@ -139,24 +155,23 @@ def judge_quality(
     # At most BUCKETS numbers, as one constant of the plan.
     (found,) = log_ratios(docs, trusted).first()
     ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
-    words, low = F.col("_words"), F.translate("text", _UPPER, _LOWER)
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _GAPS, "") != "")
-    measured = docs.withColumn("_words", words_of(F.col("text"))).select(
+    # One value per text holds what depends on its words.
+    counted = let(
+        word_hashes(F.col("text")),
+        lambda h: F.struct(
+            F.size(h).cast("bigint").alias("n_words"),
+            repeated_words(h).alias("n_repeat_words"),
+            mean_ratio(h, ratios).alias("score"),
+        ),
+    )
+    measured = docs.select(
         "doc_id",
-        F.size("_words").cast("bigint").alias("n_words"),
+        counted.alias("_words"),
         F.length(F.translate("text", _GAPS, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(words).alias("n_repeat_words"),
-        let(
-            words_of(low),
-            lambda w: let(
-                features(w),
-                lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(ratios, x))
-                / F.nullif(F.size(f), F.lit(0)),
-            ),
-        ).alias("score"),
-    )
+    ).select("*", "_words.*")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
