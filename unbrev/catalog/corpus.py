@@ -10,6 +10,7 @@ from unbrev.catalog.inputs import P, base_lexicon, table, toxic_words, word_coun
 from unbrev.functions import text as tx
 from unbrev.operators.lexicons import vocabulary
 from unbrev.plans import corpus, lexicon
+from unbrev.session import settle
 
 BIGRAM_MIN = 3
 BIGRAM_TOP = 1000
@@ -58,7 +59,7 @@ def _ngrams(
     spark: SparkSession, sf_dir: str, top: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     lines = corpus.text_lines(table(spark, sf_dir, "documents"))
-    return corpus.build_bigrams(lines, base_lexicon(spark, sf_dir), P, top, BIGRAM_MIN)
+    return corpus.build_bigrams(lines, settle(base_lexicon(spark, sf_dir)), P, top, BIGRAM_MIN)
 
 
 def bigram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ def bigram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.pmi_table(*_ngrams(spark, sf_dir))
+    """Every counted pair; the counts are looked up several times, so they are settled."""
+    return corpus.pmi_table(*map(settle, _ngrams(spark, sf_dir)))
 
 
 def bigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,9 +42,10 @@ def noisy_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    lex = base_lexicon(spark, sf_dir)
+    lex = settle(base_lexicon(spark, sf_dir))
     lines = corpus.text_lines(table(spark, sf_dir, "documents"))
-    return lex, corpus.build_bigrams(lines, lex, P)
+    unigrams, bigrams = corpus.build_bigrams(lines, lex, P)
+    return lex, (settle(unigrams), settle(bigrams))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,6 @@ def evaluate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of bigram-sampled cases with the pair statistics on."""
     lex, (unigrams, bigrams) = _lm(spark, sf_dir)
-    bigrams = settle(bigrams)
     drawn = settle(noise.synthesize_noisy_pairs(lex, P, DRAWS, SEED, bigrams))
     known = ex.Knowledge(lex, pmi=corpus.pmi_table(unigrams, bigrams))
     rows = ev.metrics(ev.evaluate(drawn, known, P))

@@ -20,6 +20,7 @@ from unbrev.catalog.inputs import (
 from unbrev.functions import text as tx
 from unbrev.plans import expand as ex
 from unbrev.plans import lexicon as lx
+from unbrev.session import settle
 
 LIMIT, GROUP_LIMIT = 5, 3
 SCORE_DIGITS = 6
@@ -38,7 +39,7 @@ FLAT = ("query_id", "rank", "form", "lemma", "score", "source")
 
 
 def ranked_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ex.Knowledge(base_lexicon(spark, sf_dir))
+    known = ex.Knowledge(settle(base_lexicon(spark, sf_dir)))
     return _show(ex.expand_tokens(shorthand_queries(spark, sf_dir), known, P, limit=LIMIT), *FLAT)
 
 
@@ -84,7 +85,8 @@ def context_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ex.Knowledge(base_lexicon(spark, sf_dir), pmi=corpus.pmi(spark, sf_dir))
+    pairs = settle(corpus.pmi(spark, sf_dir))
+    known = ex.Knowledge(settle(base_lexicon(spark, sf_dir)), pmi=pairs)
     return _show(ex.expand_tokens(context_queries(spark, sf_dir), known, P, limit=LIMIT), *FLAT)
 
 
