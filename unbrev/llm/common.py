@@ -193,9 +193,12 @@ def shingle_sets(
 # -- components ------------------------------------------------------------
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    """One row that tells whether a set of links has changed."""
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _is_settled(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: one row of counts."""
+    roots, others = links.select("b").distinct(), links.select(F.col("a").alias("b")).distinct()
+    ends = roots.join(others, "b", "left_semi")
+    rows = links.agg(F.count("*").alias("n"), F.count_distinct("a").alias("m")).first()
+    return rows["n"] == rows["m"] and ends.isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -205,15 +208,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     contraction.  Each step needs the smallest neighbour of a node only, so a
     node with very many neighbours is summed up before the shuffle; nothing is
     collected.  Every round is written to the shared folder, which also cuts
-    the lineage, and ends when a round changes no link.
+    the lineage; it ends when all nodes are linked to the smallest of their component.
     """
     links = settle(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a != b")
         .distinct()
     )
-    state = _fingerprint(links)
     for _ in range(rounds):
+        if _is_settled(links):
+            break
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
@@ -229,10 +233,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .filter("a != b")
             .distinct()
         )
-        links, before = after, state
-        state = _fingerprint(links)
-        if state == before:
-            break
+        links = after
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("b").alias("node")).distinct()
