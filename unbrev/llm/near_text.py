@@ -184,7 +184,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _crossing(lists: DataFrame, block_rows: int, best: bool) -> DataFrame:
     """Pairs of different components that share a list and agree on enough of the
-    counted coordinates, from ``lists (key, rep, component, fine)``.
+    counted coordinates, from ``lists (key, rep, component, fine, keys)``.  A pair comes
+    from the first list that both are in, so once, whatever they share.
 
     With ``best`` only the partner that agrees most, for each document and block.
     """
@@ -195,6 +196,7 @@ def _crossing(lists: DataFrame, block_rows: int, best: bool) -> DataFrame:
             rep, comp, own, lo, hi = (
                 rows.column(c).to_numpy() for c in ("rep", "component", "_own", "_lo", "_hi")
             )
+            keys = rows.column("keys")
             found: set[tuple[int, int]] = set()
             for start, stop in zip(cuts[:-1], cuts[1:]):
                 left = start + np.flatnonzero(own[start:stop] == lo[start])
@@ -210,20 +212,25 @@ def _crossing(lists: DataFrame, block_rows: int, best: bool) -> DataFrame:
                         js, agree = js[enough], agree[enough]
                         if best and len(js):
                             js = js[np.lexsort((rep[js], -agree))[:1]]
+                        elif len(js):
+                            mine_keys = set(keys[int(i)].as_py())
+                            here = rows.column("key")[int(start)].as_py()
+                            js = [j for j in js if min(mine_keys & set(keys[int(j)].as_py())) == here]
                         found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in js)
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     dealt = in_blocks(lists, "key", "rep", block_rows)
     return (
-        dealt.select("key", "rep", "component", "fine", "_own", "_lo", "_hi")
+        dealt.select("key", "rep", "component", "fine", "keys", "_own", "_lo", "_hi")
         .mapInArrow(meet, "a bigint, b bigint")
         .distinct()
     )
 
 
 def _mixed_lists(lists: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """``key, rep, component, fine`` of the lists that hold several components."""
+    """``key, rep, component, fine, keys`` of the lists that hold several components;
+    ``keys`` has all lists of the document."""
     tagged = lists.join(_placed(classes.select("rep"), components(linked)), "rep")
     mixed_keys = (
         tagged.groupBy("key")
@@ -231,10 +238,12 @@ def _mixed_lists(lists: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
         .filter("_low != _high")
         .select("key")
     )
+    own = lists.groupBy("rep").agg(F.collect_set("key").alias("keys"))
     return (
         tagged.join(mixed_keys, "key", "left_semi")
         .join(classes.select("rep", "fine").hint("merge"), "rep")
-        .select("key", "rep", "component", "fine")
+        .join(own.hint("merge"), "rep")
+        .select("key", "rep", "component", "fine", "keys")
     )
 
 
