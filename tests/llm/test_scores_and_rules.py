@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -164,6 +165,73 @@ def test_forward_sums_all_segmentations():
         assert all(abs(own[x] - n) < 1e-9 for x, n in uses.items())
 
 
+def log_of_all_segmentations(word, ids, p):
+    """Log probability and expected piece counts, exactly: in whole numbers over a power of two."""
+    p = [Fraction(float(x)) for x in p]
+    longest = max(map(len, ids))
+
+    def arcs(i):
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            if word[i:j] in ids:
+                yield j, ids[word[i:j]]
+            elif j == i + 1:
+                yield j, len(p) - 1
+
+    every = [list(arcs(i)) for i in range(len(word))]
+    before, after = [Fraction(0)] * (len(word) + 1), [Fraction(0)] * (len(word) + 1)
+    before[0] = after[-1] = Fraction(1)
+    for i, own in enumerate(every):
+        for j, x in own:
+            before[j] += before[i] * p[x]
+    for i in range(len(word) - 1, -1, -1):
+        after[i] = sum(p[x] * after[j] for j, x in every[i])
+    total = after[0]
+    uses = Counter()
+    for i, own in enumerate(every):
+        for j, x in own:
+            uses[x] += float(before[i] * p[x] * after[j] / total)
+    return math.log(total.numerator) - math.log(total.denominator), uses
+
+
+def test_long_words_are_taken_whole():
+    """Words of 200 letters, pieces as rare as 1e-11: no cut is left out, nothing underflows."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids: dict[str, int] = {}
+    for i in range(model.get_piece_size()):
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
+            ids.setdefault(model.id_to_piece(i), len(ids))
+    vocabulary = language.Vocabulary.load(PIECES)
+    rare = np.full(vocabulary.size, 1e-11)
+    common = np.random.default_rng(1).random(vocabulary.size) / vocabulary.size
+    pieces = np.array([rare, common])
+    long = ["information" * 18 + "xy", "ꙮ" * 200, "straßenbahn" * 5, "the"]
+    got = language.word_scores(long, vocabulary, pieces)
+    assert np.isfinite(got).all()
+    for k, word in enumerate(long):
+        for lang, p in enumerate(pieces):
+            want, uses = log_of_all_segmentations("▁" + word, ids, p)
+            assert abs(got[k, lang] - want) < 1e-8 * abs(want)
+            found = language.piece_uses([word], np.array([lang]), np.array([3.0]), vocabulary, pieces)
+            assert np.isfinite(found).all() and not found[1 - lang].any()
+            assert all(abs(found[lang, x] - 3 * n) < 1e-8 for x, n in uses.items())
+            assert abs(found[lang].sum() - 3 * sum(uses.values())) < 1e-6
+
+
+def test_unseen_letters_leave_a_score(spark):
+    """A long run of unseen letters does not make the other words of a text void."""
+    pieces = np.full((2, language.Vocabulary.load(PIECES).size), 1e-11)
+    pieces[0] *= 2
+    model = language.Model(["aa", "bb"], np.log([0.5, 0.5]), pieces, PIECES)
+    docs = spark.createDataFrame([(1, "ꙮ" * 60)], "doc_id bigint, text string")
+    row = language.predict(docs, model).first()
+    assert (row.lang_pred, row.lang_score) == ("aa", 1.0)
+    pieces[:] = 1e-11
+    row = language.predict(docs, model).first()
+    assert (row.lang_pred, row.lang_score) == ("aa", 0.5)
+
+
 def test_languages_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400")
     held = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.  The
 probability of a word is the sum over all ways to cut it into pieces, which a forward
-pass over its characters gives; a text is the product of its words.  The piece
+pass over its characters gives, in logarithms where the products could leave the range
+of doubles; a text is the product of its words.  The piece
 probabilities come from expectation maximisation over the (language, word) counts of
 the training rows, whose counting and summing Spark does.
 """
@@ -25,14 +26,15 @@ from unbrev.session import settle
 
 #: Runs of letters, which are the words here.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words are worked through in parts of so many characters, so that products of
-#: piece probabilities stay far from the smallest number.
-PART = 40
+#: Log of the smallest probability that is worked with directly; that of the smallest
+#: normal double is -708.
+SMALLEST = -690.0
 SMOOTHING = 0.05
 #: Entries of a counting dictionary before it is handed on.
 FLUSH = 300_000
-#: Words worked through together.
+#: Words worked through together, and their characters (one word at least).
 WORDS = 10_000
+CHARACTERS = 400_000
 UNDETERMINED = "und"
 
 
@@ -156,6 +158,34 @@ class Segmentations:
         alpha, beta = self.forward(p), self.backward(p)
         return alpha[self.tail] * p * beta[self.head] / alpha[self.last][self.owner]
 
+    def log_forward(self, logs: np.ndarray) -> np.ndarray:
+        """:meth:`forward` in logarithms, which no length of a string underflows."""
+        alpha = np.full((self.nodes, *logs.shape[1:]), -np.inf)
+        alpha[self.base] = 0.0
+        for arcs, starts in self._steps(self.depth, self.head):
+            alpha[self.head[arcs[starts]]] = _log_sums(alpha[self.tail[arcs]] + logs[arcs], starts)
+        return alpha
+
+    def log_backward(self, logs: np.ndarray) -> np.ndarray:
+        """:meth:`backward` in logarithms."""
+        beta = np.full((self.nodes, *logs.shape[1:]), -np.inf)
+        beta[self.last] = 0.0
+        for arcs, starts in self._steps(-self.rise, self.tail):
+            beta[self.tail[arcs[starts]]] = _log_sums(beta[self.head[arcs]] + logs[arcs], starts)
+        return beta
+
+    def log_uses(self, logs: np.ndarray) -> np.ndarray:
+        """:meth:`uses`, given the logarithm of each arc's probability."""
+        alpha, beta = self.log_forward(logs), self.log_backward(logs)
+        return np.exp(alpha[self.tail] + logs + beta[self.head] - alpha[self.last][self.owner])
+
+
+def _log_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each run of rows; every run has a finite row."""
+    most = np.maximum.reduceat(values, starts)
+    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+    return most + np.log(np.add.reduceat(np.exp(values - most[rows]), starts))
+
 
 class Model(NamedTuple):
     """Languages, log priors, and piece probabilities (language by piece)."""
@@ -171,23 +201,50 @@ def words_of(text: str) -> Counter:
     return Counter(LETTERS.findall(text.lower()))
 
 
-def parts_of(word: str) -> list[str]:
-    """A word as the vocabulary spells it, in parts of bounded length."""
-    spelt = "▁" + word
-    return [spelt[i : i + PART] for i in range(0, len(spelt), PART)]
+def _chunks(words: list[str], pieces: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Numbers of the words to work through together, and whether in logarithms.
+
+    A word of ``n`` characters has at most ``n`` pieces, so none of its products is below
+    the least piece probability to that power.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    long = sizes * -np.log(pieces.min(initial=1.0)) > -SMALLEST
+    for logs in (False, True):
+        own = np.flatnonzero(long == logs)
+        ends = np.cumsum(sizes[own])
+        start = 0
+        while start < len(own):
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + CHARACTERS, side="right"))
+            stop = min(max(stop, start + 1), start + WORDS)
+            yield own[start:stop], logs
+            start = stop
 
 
 def word_scores(words: list[str], vocabulary: Vocabulary, pieces: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language: ``(word, language)``."""
-    parts = [parts_of(word) for word in words]
-    of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-    cut = Segmentations([x for p in parts for x in p], vocabulary)
-    logs = np.log(cut.forward(pieces.T[cut.piece])[cut.last])
     out = np.zeros((len(words), len(pieces)))
-    np.add.at(out, of, logs)
+    for own, logs in _chunks(words, pieces):
+        cut = Segmentations(["▁" + words[i] for i in own], vocabulary)
+        p = pieces.T[cut.piece]
+        out[own] = cut.log_forward(np.log(p))[cut.last] if logs else np.log(cut.forward(p)[cut.last])
     return out
 
 
+def piece_uses(
+    words: list[str], of: np.ndarray, times: np.ndarray, vocabulary: Vocabulary, pieces: np.ndarray
+) -> np.ndarray:
+    """Expected uses of each piece ``(language, piece)`` in words of the languages ``of``."""
+    uses = np.zeros(pieces.shape)
+    for own, logs in _chunks(words, pieces):
+        cut = Segmentations(["▁" + words[i] for i in own], vocabulary)
+        lang = of[own][cut.owner]
+        p = pieces[lang, cut.piece]
+        used = cut.log_uses(np.log(p)) if logs else cut.uses(p)
+        np.add.at(uses, (lang, cut.piece), used * times[own][cut.owner])
+    return uses
+
+
 # -- learning --------------------------------------------------------------
 
 
@@ -259,13 +316,8 @@ def _expectation(counts: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, WORDS):
                 langs, words, n = (c.to_pylist() for c in whole.slice(at, WORDS).columns)
-                parts = [parts_of(word) for word in words]
-                size = [len(p) for p in parts]
-                own = np.repeat([number[lang] for lang in langs], size)
-                weight = np.repeat(np.array(n, float), size)
-                cut = Segmentations([x for p in parts for x in p], vocabulary)
-                used = cut.uses(known.pieces[own[cut.owner], cut.piece])
-                np.add.at(uses, (own[cut.owner], cut.piece), used * weight[cut.owner])
+                of = np.array([number[lang] for lang in langs], np.int64)
+                uses += piece_uses(words, of, np.array(n, float), vocabulary, known.pieces)
         lang, piece = np.nonzero(uses)
         yield pa.RecordBatch.from_pydict(
             {"lang": lang.astype(np.int32), "piece": piece.astype(np.int32), "uses": uses[lang, piece]}
@@ -299,12 +351,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def learn(words: list[str]) -> None:
             nonlocal table
-            fresh = [
-                word_scores(words[at : at + WORDS], vocabulary, known.pieces)
-                for at in range(0, len(words), WORDS)
-            ]
             rows.update(zip(words, range(len(table), len(table) + len(words))))
-            table = np.concatenate([table, *fresh])
+            table = np.concatenate([table, word_scores(words, vocabulary, known.pieces)])
 
         for batch in parts_by_rows(batches, 1000):
             counted = [words_of(value.as_py() or "") for value in batch.column(text)]
