@@ -63,6 +63,43 @@ def test_model_is_a_probability(spark):
     assert scores[1] > 0.5 * scores[2]
 
 
+def test_every_context_keeps_its_own_counts(spark, monkeypatch):
+    """Counts equal brute force for more contexts than 2 ** 20 slots keep apart, however
+    tasks hand them on."""
+    monkeypatch.setattr(context_mixing, "COUNTED_BYTES", 50_000)
+    monkeypatch.setattr(context_mixing, "HELD_ENTRIES", 100_000)
+    monkeypatch.setattr(context_mixing, "ASK_BYTES", 30_000)
+    draw = np.random.default_rng(3)
+    texts = ["".join(map(chr, draw.integers(97, 123, 20_000))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = context_mixing.fit(docs)
+    want = Counter()
+    for text in texts:
+        line = b"\0" * 5 + text.encode() + b"\xff"
+        want.update((line[i - k : i], k, line[i]) for i in range(5, len(line)) for k in context_mixing.ORDERS)
+    seen = texts[0].encode()
+    at, _ = context_mixing.places(np.frombuffer(seen, np.uint8), np.array([0, len(seen)]))
+    table = model.table(at)
+    line = b"\0" * 5 + seen + b"\xff"
+    for k, keys in zip(context_mixing.ORDERS, context_mixing._keys(at)):
+        own = np.searchsorted(table.keys, keys)
+        assert (table.keys[own] == keys).all()
+        assert table.times[own].tolist() == [want[line[i - k : i], k, line[i]] for i in range(5, len(line))]
+    assert sum(n for n in map(len, texts)) + len(texts) == sum(
+        int(np.frombuffer(r.data, np.int64).sum()) for r in model.counts.collect()
+    ) / context_mixing.TABLES
+    # Contexts that were never seen have no counts of others.
+    fresh = np.frombuffer(("QZ" * 5000).encode(), np.uint8)
+    at, _ = context_mixing.places(fresh, np.array([0, len(fresh)]))
+    assert not any(model.table(at).stretched(keys)[6:-1].any() for keys in context_mixing._keys(at))
+    # Asking the buckets gives what the whole table gives.
+    rows = docs.filter("doc_id < 4").withColumn("tag", F.lit(0).cast("bigint"))
+    for r in context_mixing.model_scores(rows, model).collect():
+        data = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        at, _ = context_mixing.places(data, np.array([0, len(data)]))
+        assert abs(model.bit_costs(at).sum() - r.score) < 1e-6
+
+
 def test_no_texts_to_score(no_docs):
     assert context_mixing.score_texts(no_docs, F.lit(False)).count() == 0
 

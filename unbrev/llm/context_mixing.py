@@ -1,17 +1,21 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of bytes with an end mark, a byte a path of eight bits.  Tables of
-hashed contexts, the last bytes of every order in ``ORDERS`` and the word so far, count
-which bits followed; each gives a
-prediction, and logistic mixing with weights chosen by a gate (how many of the contexts
+A text is a sequence of bytes with an end mark, a byte a path of eight bits.  The model
+counts which bytes followed every context: the last bytes of every order in ``ORDERS``,
+and the word so far.  From these counts each context predicts every bit, and logistic mixing with weights chosen by a gate (how many of the contexts
 are known, and the bit's place) makes one of them, which an adaptive map by the last
 byte refines.
 
 Learning is online: a task predicts each stretch of its texts with what it has seen
 before, corrects the weights and the map by the outcome, and counts the stretch after
 that.  Counts of all tasks are summed up and weights are averaged, so every training
-text contributes; the model's size is fixed by its parameters.  Scoring changes nothing
-any more, so a text's score does not depend on its neighbours.
+text contributes.  Scoring changes nothing any more, so a text's score does not depend on
+its neighbours.
+
+The counts grow with the input and stay a table: sorted keys of context and byte, dealt by
+ranges of the key to buckets whose number grows with the input.  Contexts of bytes are
+kept exactly, the word so far as 53 bits of its hash.  To score, a task asks the buckets
+for the contexts of its texts, and the answers are joined to the texts.
 
 All quantities depend on a byte, the five before it and the word so far, so a stretch is
 worked out once per different such place.
@@ -21,7 +25,6 @@ Beside the model stands the base: word frequencies of the training texts.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -47,10 +50,13 @@ from unbrev.session import settle
 ORDERS = (1, 2, 3, 5)
 #: Number of tables.
 TABLES = len(ORDERS) + 1
-#: Each table has ``2 ** TABLE_BITS`` contexts.
-TABLE_BITS = 20
-#: Slots of a table that travel together.
-CHUNK = 1 << 13
+#: Training text that one bucket of counts stands for; a byte makes at most
+#: ``TABLES`` entries.
+COUNTED_BYTES = 8 << 20
+#: Entries a task counts before it hands them on.
+HELD_ENTRIES = 6_000_000
+#: Text bytes whose contexts a task asks for together.
+ASK_BYTES = 16 << 20
 #: Marks the end of a text; no byte of UTF-8 has this value.
 END = 0xFF
 #: Stretches a task learns from: the first size in bytes, doubled up to the last.
@@ -63,7 +69,13 @@ _GATES = TABLES + 1
 _INPUTS = TABLES + 1
 _MAP = 33
 _RATE = 0.5
-_SUMMED = "kind int, chunk int, part int, data binary"
+_CONTEXT_BITS = np.uint64(56)
+_WORD_BITS = np.uint64(53)
+_LAST = np.uint64(0xFF)
+#: Kinds of rows: a task's weights, its counts, and contexts that are asked for.
+_WEIGHTS, _COUNTS, _ASKED = 0, 1, 2
+_LEARNT = "kind int, flush bigint, bucket int, keys binary, data binary"
+_TEXTS = _LEARNT + ", tags binary, nulls binary, offsets binary"
 
 
 class Places(NamedTuple):
@@ -108,16 +120,81 @@ def places(data: np.ndarray, offsets: np.ndarray) -> tuple[Places, np.ndarray]:
     return Places(codes, span_hash(prefix_hash(line), word, at)), bounds
 
 
-def _slots(at: Places, node: np.ndarray) -> Iterator[np.ndarray]:
-    """The slot of each context with the bits seen so far, table by table."""
+def _keys(at: Places) -> Iterator[np.ndarray]:
+    """Context and byte in 64 bits, table by table: the context's 56 bits first.
+
+    Contexts of bytes, with their order, are mapped one to one.
+    """
     before = at.codes >> np.uint64(8)
     contexts = [before & np.uint64((1 << 8 * order) - 1) for order in ORDERS]
-    for number, context in enumerate((*contexts, at.words)):
-        h = context * np.uint64(0x9E3779B97F4A7C15) + node * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = h ^ np.uint64(number) ^ (h >> np.uint64(29))
-        h = h * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        yield (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    every = np.uint64((1 << int(_CONTEXT_BITS)) - 1)
+    for number, context in enumerate((*contexts, at.words >> (np.uint64(64) - _WORD_BITS))):
+        x = context | np.uint64(number) << _WORD_BITS
+        for factor in (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(factor) & every
+        x ^= x >> np.uint64(29)
+        yield x << np.uint64(8) | at.codes & _LAST
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+class Table(NamedTuple):
+    """Sorted different keys, and how often each was seen."""
+
+    keys: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """Sum of several lists of keys and times."""
+        if not parts:
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, times = map(np.concatenate, zip(*parts))
+        # Runs that are sorted already are merged by this kind of sort.
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return cls(keys[starts], np.add.reduceat(times[order], starts) if len(keys) else times)
+
+    def stretched(self, keys: np.ndarray) -> np.ndarray:
+        """Prediction of each of the eight bits of every key (0: unknown)."""
+        sums = np.concatenate([[0], np.cumsum(self.times)])
+        low = np.searchsorted(self.keys, keys & ~_LAST)
+        high = np.searchsorted(self.keys, keys | _LAST, side="right")
+        out = np.zeros((len(keys), 8), np.float32)
+        for place, _, bit in _bits(keys):
+            half = np.uint64(1 << 7 - place)
+            middle = np.searchsorted(self.keys, (keys & ~(half * np.uint64(2) - np.uint64(1))) + half)
+            zeros, ones = sums[middle] - sums[low], sums[high] - sums[middle]
+            out[:, place] = np.log((ones + _PRIOR) / (zeros + _PRIOR))
+            low, high = np.where(bit == 1, middle, low), np.where(bit == 1, high, middle)
+        return out
+
+    def within(self, contexts: np.ndarray) -> Table:
+        """The entries of sorted contexts."""
+        low = np.searchsorted(self.keys, contexts << np.uint64(8))
+        size = np.searchsorted(self.keys, contexts << np.uint64(8) | _LAST, side="right") - low
+        at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        return Table(self.keys[at], self.times[at])
+
+
+class Inputs:
+    """What a table predicts at some places; each different key is looked up once."""
+
+    def __init__(self, table: Table, at: Places) -> None:
+        self.different = [np.unique(keys, return_inverse=True) for keys in _keys(at)]
+        self.known = [table.stretched(keys) for keys, _ in self.different]
+
+    def part(self, of: slice, place: int) -> np.ndarray:
+        columns = [known[own[of], place] for known, (_, own) in zip(self.known, self.different)]
+        return np.column_stack([*columns, np.ones(len(columns[0]))])
+
+    def counts(self, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(keys, np.bincount(own, times).astype(np.int64)) for keys, own in self.different]
 
 
 def _bits(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,23 +209,44 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """Stretched predictions by order and slot (0: unknown), weights by gate and
-    place, and the refining map by last byte and step."""
+    """Rows of counts, dealt to so many buckets, weights by gate and place, and the
+    refining map by last byte and step."""
 
-    stretched: np.ndarray
+    counts: DataFrame
+    buckets: int
     weights: np.ndarray
     refined: np.ndarray
 
     def bit_costs(self, at: Places) -> np.ndarray:
-        """Log10 probability of each byte after its contexts."""
+        """Log10 probability of each byte after its contexts, for a few places."""
+        return Mixer(self.weights, self.refined).bit_costs(self.table(at), at)
+
+    def table(self, at: Places) -> Table:
+        """The counts of the contexts of a few places."""
+        asked = np.unique(np.concatenate(list(_keys(at))) >> np.uint64(8))
+        found = []
+        for row in self.counts.select("keys", "data").toLocalIterator():
+            own = Table(np.frombuffer(row.keys, np.uint64), np.frombuffer(row.data, np.int64))
+            found.append(own.within(asked))
+        return Table.of(found)
+
+
+class Mixer(NamedTuple):
+    """What of the model does not grow: the weights and the refining map."""
+
+    weights: np.ndarray
+    refined: np.ndarray
+
+    def bit_costs(self, table: Table, at: Places) -> np.ndarray:
+        """Log10 probability of each byte, given the counts of its contexts."""
+        inputs = Inputs(table, at)
         total = np.zeros(len(at.codes))
-        for place, node, bit in _bits(at.codes):
-            inputs = np.ones((len(at.codes), _INPUTS))
-            for k, slot in enumerate(_slots(at, node)):
-                inputs[:, k] = self.stretched[k, slot]
-            mix = _mix(inputs, self.weights[:, place])
-            p = self.refine(at.codes, mix)
-            total += np.log10(np.where(bit == 1, p, 1.0 - p))
+        for start in range(0, len(total), STEP):
+            of = slice(start, start + STEP)
+            codes = at.codes[of]
+            for place, _, bit in _bits(codes):
+                p = self.refine(codes, _mix(inputs.part(of, place), self.weights[:, place]))
+                total[of] += np.log10(np.where(bit == 1, p, 1.0 - p))
         return total
 
     def refine(self, codes: np.ndarray, mix: np.ndarray) -> np.ndarray:
@@ -174,7 +272,7 @@ class Learner:
     """One task's counts, weights and map."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros((TABLES, 1 << TABLE_BITS, 2), np.uint32)
+        self.table = Table.of([])
         self.weights = np.full((_GATES, 8, _INPUTS), 0.4)
         self.weights[:, :, -1] = 0.0
         self.seen = 0.0
@@ -183,22 +281,17 @@ class Learner:
     def learn(self, stretch: Places) -> None:
         """Predict a stretch, correct by the outcome, then count it."""
         known, times, _ = stretch.different()
-        if self.seen or self.counts[0].any():
+        inputs = Inputs(self.table, known)
+        if len(self.table.keys):
             for start in range(0, len(times), STEP):
                 part = slice(start, start + STEP)
-                self._correct(known.take(part), times[part])
-        for _, node, bit in _bits(known.codes):
-            for k, slot in enumerate(_slots(known, node)):
-                np.add.at(self.counts[k].reshape(-1), slot * 2 + bit, times.astype(np.uint32))
+                self._correct(known.codes[part], inputs, part, times[part])
+        self.table = Table.of([tuple(self.table), *inputs.counts(times)])
 
-    def _correct(self, at: Places, times: np.ndarray) -> None:
-        codes = at.codes
+    def _correct(self, codes: np.ndarray, known: Inputs, of: slice, times: np.ndarray) -> None:
         last = ((codes >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
-        for place, node, bit in _bits(codes):
-            inputs = np.ones((len(codes), _INPUTS))
-            for k, slot in enumerate(_slots(at, node)):
-                n = self.counts[k][slot]
-                inputs[:, k] = np.log((n[:, 1] + _PRIOR) / (n[:, 0] + _PRIOR))
+        for place, _, bit in _bits(codes):
+            inputs = known.part(of, place)
             weights = self.weights[:, place]
             mix = _mix(inputs, weights)
             low, part = _steps(mix)
@@ -219,125 +312,214 @@ class Learner:
         self.seen += float(times.sum())
 
 
-def _training(docs: DataFrame) -> DataFrame:
-    """``kind, chunk, part, data``: the tasks' counts (kind: table) and, as kind -1,
-    their weights and maps."""
+def _training(docs: DataFrame, buckets: int) -> DataFrame:
+    """The tasks' counts by bucket, and their weights and maps."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, held, size, stretch = Learner(), [], 0, FIRST_STRETCH
-        task = TaskContext.get().partitionId() % 64
+        task, texts = TaskContext.get().partitionId() % 64, 0
         for batch in batches:
             for part in slices(batch, "text", FIRST_STRETCH):
                 data, offsets = byte_buffer(part.column("text"))
                 held.append(places(lowered(data), offsets)[0])
                 size += len(data)
+                texts += part.num_rows
                 if size >= stretch:
                     learner.learn(Places(*map(np.concatenate, zip(*held))))
                     held, size, stretch = [], 0, min(stretch * 2, LAST_STRETCH)
+                    if len(learner.table.keys) >= HELD_ENTRIES:
+                        yield from _counted(learner.table, buckets)
+                        learner.table = Table.of([])
         if held:
             learner.learn(Places(*map(np.concatenate, zip(*held))))
-        if not learner.counts[0].any():
+        if not texts:
             return
-        pieces = learner.counts.reshape(TABLES, -1, CHUNK * 2)
-        for order in range(TABLES):
-            full = np.flatnonzero(pieces[order].any(axis=1))
-            yield _rows(order, full, task, [_pack(pieces[order, c]) for c in full])
+        yield from _counted(learner.table, buckets)
         rest = np.concatenate(
             [[learner.seen], (learner.weights * learner.seen).ravel(), learner.hits.ravel()]
         )
-        yield _rows(-1, np.zeros(1, np.int64), task, [_pack(rest)])
-
-    return docs.select("text").mapInArrow(learn, _SUMMED)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
-
-
-def _rows(kind: int, chunks: np.ndarray, part: int, data: list[bytes]) -> pa.RecordBatch:
-    n = len(chunks)
-    return pa.RecordBatch.from_pydict(
-        {
-            "kind": pa.array([kind] * n, pa.int32()),
-            "chunk": pa.array(chunks, pa.int32()),
-            "part": pa.array([part] * n, pa.int32()),
-            "data": pa.array(data, pa.binary()),
-        }
+        yield _rows(_LEARNT, kind=[_WEIGHTS], bucket=[task], data=[rest.tobytes()])
+
+    return docs.select("text").mapInArrow(learn, _LEARNT)
+
+
+def _rows(schema: str, **columns: list) -> pa.RecordBatch:
+    """Rows of a schema; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    arrays = [pa.array(columns.get(name, [None] * n), types[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def _counted(table: Table, buckets: int) -> Iterator[pa.RecordBatch]:
+    cuts = _cuts(table.keys, buckets)
+    full = np.flatnonzero(np.diff(cuts))
+    parts = [slice(cuts[b], cuts[b + 1]) for b in full]
+    yield _rows(
+        _LEARNT,
+        kind=[_COUNTS] * len(full),
+        bucket=full.tolist(),
+        keys=[table.keys[p].tobytes() for p in parts],
+        data=[table.times[p].tobytes() for p in parts],
     )
 
 
-def _add_up(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum the packed arrays of each key, one after the other."""
+def _add_up(parts: DataFrame) -> DataFrame:
+    """Sum the weights and maps of each bucket, one after the other."""
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = 0.0
         for batch in rows:
-            kind, chunk, part = (batch.column(c)[0].as_py() for c in ("kind", "chunk", "part"))
-            dtype = np.float64 if kind < 0 else np.uint32
             for data in batch.column("data"):
-                values = np.frombuffer(zlib.decompress(data.as_buffer()), dtype)
-                wide = values.astype(np.float64 if kind < 0 else np.uint64)
-                total = wide if total is None else total + wide
-        limit = total if kind < 0 else np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        yield _rows(kind, np.array([chunk]), part, [_pack(limit)])
+                total = total + _numbers(data, np.float64)
+        yield pa.RecordBatch.from_pydict({"data": pa.array([total.tobytes()], pa.binary())})
 
-    return parts.groupBy(*keys).applyInArrow(add, _SUMMED)
+    return parts.groupBy("bucket").applyInArrow(add, "data binary")
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, n_bytes: int | None = None) -> Model:
     """Learn from all rows of ``(text)``; null texts are empty ones.
 
-    The driver gets the summed tables, whose size the parameters fix.  Without rows
-    every bit has probability one half.
+    ``n_bytes``, about the size of all texts, saves counting it.  The driver gets sums of
+    the weights and maps; the counts stay a table.  Without rows every bit has
+    probability one half.
     """
-    # First by groups of tasks, so that no sum takes in the blobs of all tasks at once.
-    summed = _add_up(_add_up(_training(docs), ["kind", "chunk", "part"]), ["kind", "chunk"])
-    stretched = np.zeros((TABLES, 1 << TABLE_BITS), np.float32)
-    learner = Learner()
-    weights, refined = learner.weights, _squash(np.linspace(-_CLIP, _CLIP, _MAP))[None].repeat(256, 0)
-    for row in summed.toLocalIterator():
-        values = zlib.decompress(row.data)
-        if row.kind >= 0:
-            n = np.frombuffer(values, np.uint32).reshape(-1, 2)
-            part = np.log((n[:, 1] + _PRIOR) / (n[:, 0] + _PRIOR))
-            stretched[row.kind, row.chunk * CHUNK : row.chunk * CHUNK + len(n)] = part
-            continue
-        rest = np.frombuffer(values, np.float64)
-        size = learner.weights.size
+    if n_bytes is None:
+        n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-n_bytes // COUNTED_BYTES))
+    learnt = settle(_training(docs, buckets))
+    weights, refined = Learner().weights, _squash(np.linspace(-_CLIP, _CLIP, _MAP))[None].repeat(256, 0)
+    # First by groups of tasks, so that the driver gets the sums of 64 groups at most.
+    sums = [np.frombuffer(r.data, np.float64) for r in _add_up(learnt.filter(F.col("kind") == _WEIGHTS)).collect()]
+    if sums:
+        rest, size = np.sum(sums, axis=0), weights.size
         if rest[0] > 0:
-            weights = (rest[1 : 1 + size] / rest[0]).reshape(learner.weights.shape)
+            weights = (rest[1 : 1 + size] / rest[0]).reshape(weights.shape)
         hits = rest[1 + size :].reshape(256, _MAP, 2)
         # The map starts as it is and moves with what is seen.
         refined = (hits[:, :, 1] + 20.0 * refined) / (hits.sum(axis=2) + 20.0)
-    return Model(stretched.astype(np.float16), weights, refined)
+    return Model(learnt.filter(F.col("kind") == _COUNTS), buckets, weights, refined)
+
+
+def _questions(docs: DataFrame, buckets: int) -> DataFrame:
+    """Stretches of texts, under numbers from ``buckets``, and the contexts they ask for."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size, texts = TaskContext.get().partitionId(), 0, 0, 0
+        asked = np.zeros(0, np.uint64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cuts = _cuts(asked << np.uint64(8), buckets)
+            full = np.flatnonzero(np.diff(cuts))
+            yield _rows(
+                _TEXTS,
+                kind=[_ASKED] * len(full),
+                flush=[task << 32 | number] * len(full),
+                bucket=full.tolist(),
+                keys=[asked[cuts[b] : cuts[b + 1]].tobytes() for b in full],
+            )
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = byte_buffer(part.column("text"))
+                data = lowered(data)
+                every = places(data, offsets)[0].different()[0]
+                own = [np.unique(keys >> np.uint64(8)) for keys in _keys(every)]
+                asked = np.unique(np.concatenate([asked, *own]))
+                ids = part.column("doc_id")
+                yield _rows(
+                    _TEXTS,
+                    kind=[_ASKED],
+                    flush=[task << 32 | number],
+                    bucket=[buckets + texts],
+                    keys=[ids.fill_null(0).to_numpy().tobytes()],
+                    data=[data.tobytes()],
+                    tags=[part.column("tag").to_numpy().tobytes()],
+                    nulls=[ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
+                    offsets=[offsets.tobytes()],
+                )
+                size, texts = size + len(data), texts + 1
+                if size >= ASK_BYTES:
+                    yield from flush()
+                    asked, number, size, texts = asked[:0], number + 1, 0, 0
+        if texts:
+            yield from flush()
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(ask, _TEXTS)
+
+
+def _answers(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The counts of the contexts that are asked for, summed over all tasks."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, table, held, entries = None, Table.of([]), [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(n) for n in ("kind", "flush", "bucket", "keys", "data"))):
+                if row[2].as_py() != bucket:
+                    bucket, table, held, entries = row[2].as_py(), Table.of([]), [], 0
+                keys = _numbers(row[3], np.uint64)
+                if row[0].as_py() == _COUNTS:
+                    held.append((keys, _numbers(row[4], np.int64)))
+                    entries += len(keys)
+                    if entries > max(1_000_000, len(table.keys)):
+                        table, held, entries = Table.of([tuple(table), *held]), [], 0
+                    continue
+                if held:
+                    table, held, entries = Table.of([tuple(table), *held]), [], 0
+                found = table.within(keys)
+                yield _rows(
+                    _LEARNT,
+                    kind=[_COUNTS],
+                    flush=[row[1].as_py()],
+                    bucket=[bucket],
+                    keys=[found.keys.tobytes()],
+                    data=[found.times.tobytes()],
+                )
+
+    rows = counts.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return rows.mapInArrow(answer, _LEARNT)
 
 
 def model_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, tag, n_bytes, score`` of ``(doc_id, tag, text)``: log10 probability of
     each whole text and its end."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    questions = settle(_questions(docs, model.buckets))
+    asked = questions.filter(F.col("bucket") < model.buckets)
+    texts = questions.filter(F.col("bucket") >= model.buckets)
+    names = [part.split()[0] for part in _LEARNT.split(", ")]
+    answers = _answers(model.counts, asked.select(*names))
+    mixer = Mixer(model.weights, model.refined)
+    columns = ("flush", "offsets", "keys", "data", "tags", "nulls")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        flush, table, held = None, Table.of([]), []
         for batch in batches:
-            for part in slices(batch, "text", LAST_STRETCH):
-                data, offsets = byte_buffer(part.column("text"))
-                every, bounds = places(lowered(data), offsets)
-                known, times, at = every.different()
-                costs = np.concatenate(
-                    [own.bit_costs(known.take(slice(i, i + STEP))) for i in range(0, len(times), STEP)]
-                )
+            for row in zip(*(batch.column(n) for n in columns)):
+                if row[0].as_py() != flush:
+                    flush, table, held = row[0].as_py(), Table.of([]), []
+                # The answers come before the texts.
+                if not row[1].is_valid:
+                    held.append((_numbers(row[2], np.uint64), _numbers(row[3], np.int64)))
+                    continue
+                if held:
+                    table, held = Table.of(held), []
+                offsets = _numbers(row[1], np.int64)
+                every, bounds = places(_numbers(row[3], np.uint8), offsets)
+                known, _, at = every.different()
+                costs = mixer.bit_costs(table, known)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        part.column("tag"),
+                        pa.array(_numbers(row[2], np.int64), mask=_numbers(row[5], bool)),
+                        pa.array(_numbers(row[4], np.int64)),
                         pa.array(np.diff(offsets), pa.int64()),
                         pa.array(np.add.reduceat(costs[at], bounds[:-1])),
                     ],
                     ["doc_id", "tag", "n_bytes", "score"],
                 )
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(
+    rows = answers.unionByName(texts, allowMissingColumns=True)
+    return rows.repartition("flush").sortWithinPartitions("flush", "bucket").mapInArrow(
         score, "doc_id bigint, tag bigint, n_bytes bigint, score double"
     )
 
@@ -545,7 +727,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
         text.alias("text"),
     )
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    model = fit(rows.filter(~F.col("held")))
+    model = fit(rows.filter(~F.col("held")), n_bytes)
     scored = model_scores(rows, model).distinct().withColumnRenamed("doc_id", "_id").alias("scored")
     base = base_scores(rows, n_bytes).alias("base")
     same = (F.col("base.tag") == F.col("scored.tag")) & F.col("doc_id").eqNullSafe(F.col("_id"))
