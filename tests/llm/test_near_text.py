@@ -62,6 +62,18 @@ def test_large_group_of_different_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 4)
 
 
+def test_borderline_pairs_are_compared_in_full(spark):
+    """Pairs with 8 of 10 shingles in common that agree on 273, 274 and 271 of the 384
+    counted coordinates, where 307 are expected."""
+    rows = []
+    for k, number in enumerate((9213, 44412, 88386)):
+        w = [f"u{number}x{j}" for j in range(13)]
+        rows += [(2 * k, " ".join(w[:12])), (2 * k + 1, " ".join(w[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(docs, words=4).collect()}
+    assert got == brute(rows, 4) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_no_rows(no_docs):
     assert near_text.near_duplicates(no_docs).count() == 0
 
