@@ -58,7 +58,7 @@ def differences(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str:
 
 def main(sf_dir: str, names: list[str]) -> int:
     from tests.conftest import make_session
-    from unbrev.catalog import oracle_sql, queries
+    from __spark_entry__ import oracle_sql, queries
 
     spark = make_session()
     con = connect(sf_dir)
