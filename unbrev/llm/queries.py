@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from unbrev.llm import byte_bpe, context_mixing, language, lattice, mixing, near_text, ngram_ratio, repeats, url_filter, warc
+from unbrev.llm import (
+    byte_bpe,
+    context_mixing,
+    language,
+    lattice,
+    mixing,
+    near_text,
+    ngram_ratio,
+    repeats,
+    secrets,
+    url_filter,
+    warc,
+)
 from unbrev.llm.common import crc_remainder, table
 
 # -- 1: near-duplicate vectors ----------------------------------------------------
@@ -181,6 +193,72 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- 12: secrets ------------------------------------------------------------------
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets of every document."""
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
+# The engine's own letter folding knows more letters than A-Z, so both cases are spelt out.
+_ASSIGN_SQL = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+    r"""|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_SECRET_PATTERNS = [_ASSIGN_SQL, *[pattern for _, pattern, _ in secrets.BASE[1:]], secrets.CANDIDATE]
+_SECRETS_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  {" UNION ALL ".join(
+      f"SELECT rid, {i} AS kind, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs "
+      f"FROM d WHERE regexp_matches(t, '{p}')" for i, p in enumerate(_SECRET_PATTERNS))}
+), placed AS (
+  SELECT rid, kind, ms[i] AS word, (list_sum(list_transform(ms[1:i], lambda x: length(x)))
+    + list_sum(list_transform(gs[1:i], lambda x: length(x))))::BIGINT AS stop
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)
+), base AS (
+  SELECT rid, kind, stop - length(word) AS start, stop FROM placed
+  WHERE (kind = 0 AND length(regexp_extract(word, '{_ASSIGN_SQL}', 2)) >= {secrets.BASE[0][2]})
+    OR (kind = 1 AND length(word) >= {secrets.BASE[1][2]})
+    OR (kind = 2 AND length(word) >= {secrets.BASE[2][2]})
+), suspects AS (
+  SELECT rid, stop - length(word) AS at, word, CASE {" ".join(
+      f"WHEN regexp_full_match(word, '{p}') THEN {secrets.largest_sum(bits)}" for p, bits in secrets.CLASSES)} END AS most
+  FROM placed WHERE kind = 3 AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[A-Za-z]')
+    AND NOT ({" OR ".join(f"regexp_matches(word, '{p}')" for p in secrets.ALLOWED)})
+), windows AS (
+  SELECT rid, at, most, s, substr(word, s + 1, {secrets.WINDOW}) AS w
+  FROM (SELECT *, unnest(range(0, length(word) - {secrets.WINDOW} + 1)) AS s FROM suspects)
+), letters AS (
+  SELECT rid, at, most, s, c, count(*) AS n
+  FROM (SELECT rid, at, most, s, unnest(string_split(w, '')) AS c FROM windows) GROUP BY ALL
+), hot AS (
+  SELECT rid, at, s FROM letters GROUP BY rid, at, most, s
+  HAVING sum(round(n * log2(n) * {secrets.SCALE})::BIGINT) <= most
+), starts AS (
+  SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY rid, at ORDER BY s) + {secrets.WINDOW} THEN 0 ELSE 1 END AS fresh FROM hot
+), islands AS (
+  SELECT rid, at, s, sum(fresh) OVER (PARTITION BY rid, at ORDER BY s) AS island FROM starts
+), added AS (
+  SELECT rid, 3 AS kind, at + min(s) AS start, at + max(s) + {secrets.WINDOW} AS stop FROM islands GROUP BY rid, at, island
+), more AS (
+  SELECT * FROM added a WHERE NOT EXISTS
+    (FROM base b WHERE b.rid = a.rid AND b.start <= a.start AND a.stop <= b.stop)
+), named AS (
+  SELECT *, {list(secrets.KINDS)}[kind + 1] || ':' || start || ':' || stop AS word FROM (FROM base UNION ALL FROM more)
+), per_row AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+    string_agg(word, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY start, kind) AS spans
+  FROM named GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN per_row USING (rid)
+"""
+
 RUN = {
     "op1_lattice": op1_lattice,
     "op2_context_mixing": op2_context_mixing,
@@ -192,10 +270,12 @@ RUN = {
     "op9_mixing": op9_mixing,
     "op5_url_filter": op5_url_filter,
     "op10_warc": op10_warc,
+    "op12_secrets": op12_secrets,
 }
 
 SQL = {
     "op5_url_filter": _URL_SQL,
+    "op12_secrets": _SECRETS_SQL,
 }
 
 
