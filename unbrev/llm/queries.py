@@ -224,25 +224,25 @@ WITH d AS (
     OR (kind = 1 AND length(word) >= {secrets.BASE[1][2]})
     OR (kind = 2 AND length(word) >= {secrets.BASE[2][2]})
 ), suspects AS (
-  SELECT rid, stop - length(word) AS at, word, CASE {" ".join(
+  SELECT rid, stop - length(word) AS place, word, CASE {" ".join(
       f"WHEN regexp_full_match(word, '{p}') THEN {secrets.largest_sum(bits)}" for p, bits in secrets.CLASSES)} END AS most
   FROM placed WHERE kind = 3 AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[A-Za-z]')
     AND NOT ({" OR ".join(f"regexp_matches(word, '{p}')" for p in secrets.ALLOWED)})
 ), windows AS (
-  SELECT rid, at, most, s, substr(word, s + 1, {secrets.WINDOW}) AS w
+  SELECT rid, place, most, s, substr(word, s + 1, {secrets.WINDOW}) AS w
   FROM (SELECT *, unnest(range(0, length(word) - {secrets.WINDOW} + 1)) AS s FROM suspects)
 ), letters AS (
-  SELECT rid, at, most, s, c, count(*) AS n
-  FROM (SELECT rid, at, most, s, unnest(string_split(w, '')) AS c FROM windows) GROUP BY ALL
+  SELECT rid, place, most, s, c, count(*) AS n
+  FROM (SELECT rid, place, most, s, unnest(string_split(w, '')) AS c FROM windows) GROUP BY ALL
 ), hot AS (
-  SELECT rid, at, s FROM letters GROUP BY rid, at, most, s
+  SELECT rid, place, s FROM letters GROUP BY rid, place, most, s
   HAVING sum(round(n * log2(n) * {secrets.SCALE})::BIGINT) <= most
 ), starts AS (
-  SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY rid, at ORDER BY s) + {secrets.WINDOW} THEN 0 ELSE 1 END AS fresh FROM hot
+  SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY rid, place ORDER BY s) + {secrets.WINDOW} THEN 0 ELSE 1 END AS fresh FROM hot
 ), islands AS (
-  SELECT rid, at, s, sum(fresh) OVER (PARTITION BY rid, at ORDER BY s) AS island FROM starts
+  SELECT rid, place, s, sum(fresh) OVER (PARTITION BY rid, place ORDER BY s) AS island FROM starts
 ), added AS (
-  SELECT rid, 3 AS kind, at + min(s) AS start, at + max(s) + {secrets.WINDOW} AS stop FROM islands GROUP BY rid, at, island
+  SELECT rid, 3 AS kind, place + min(s) AS start, place + max(s) + {secrets.WINDOW} AS stop FROM islands GROUP BY rid, place, island
 ), more AS (
   SELECT * FROM added a WHERE NOT EXISTS
     (FROM base b WHERE b.rid = a.rid AND b.start <= a.start AND a.stop <= b.stop)
