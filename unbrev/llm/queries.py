@@ -17,6 +17,7 @@ from unbrev.llm import (
     mixing,
     near_text,
     ngram_ratio,
+    phrases,
     repeats,
     secrets,
     url_filter,
@@ -259,6 +260,49 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per_row USING (rid)
 """
 
+# -- 13: phrases --------------------------------------------------------------------
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2 000 collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+_PHRASES_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest(range(1, {phrases.LONGEST + 1})) AS k FROM words)
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= {phrases.LEAST_COUNT}
+), cuts AS (
+  SELECT *, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+), scored AS (
+  SELECT x.lang, x.phrase, x.k, x.a, x.c, p.f AS l, q.f AS r, n,
+    ((1000::HUGEINT * x.a * n) // (p.f::HUGEINT * q.f))::BIGINT AS score
+  FROM cuts x JOIN counts p ON p.lang = x.lang AND p.phrase = x.head
+    JOIN counts q ON q.lang = x.lang AND q.phrase = x.tail JOIN totals t ON t.lang = x.lang
+), worst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM scored) WHERE nth = 1
+), kept AS (
+  SELECT * FROM worst s WHERE NOT EXISTS (FROM candidates b WHERE b.lang = s.lang AND b.k > s.k
+    AND 100 * b.a >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) WHERE rank <= {phrases.TOP}
+"""
+
 RUN = {
     "op1_lattice": op1_lattice,
     "op2_context_mixing": op2_context_mixing,
@@ -271,11 +315,13 @@ RUN = {
     "op5_url_filter": op5_url_filter,
     "op10_warc": op10_warc,
     "op12_secrets": op12_secrets,
+    "op13_phrases": op13_phrases,
 }
 
 SQL = {
     "op5_url_filter": _URL_SQL,
     "op12_secrets": _SECRETS_SQL,
+    "op13_phrases": _PHRASES_SQL,
 }
 
 

@@ -226,7 +226,7 @@ def entropy_spans(text: Column, allowed: Sequence[str] = ALLOWED) -> Column:
 
     def spans(m: Column) -> Column:
         return F.transform(
-            window_spans(m["word"], _limit(m["word"])),
+            let(_limit(m["word"]), lambda limit: window_spans(m["word"], limit)),
             lambda s: _span(len(BASE), m["start"] + s["start"], m["start"] + s["end"]),
         )
 
