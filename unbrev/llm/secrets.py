@@ -21,9 +21,10 @@ from unbrev.llm.ngram_ratio import let
 # -- fixed values ------------------------------------------------------------------
 
 #: Kind, pattern, least length.  The length is that of the second group of ``assign``
-#: and of the whole match otherwise.
+#: and of the whole match otherwise.  The last two ask for the length in the pattern, which
+#: gives the same: a shorter match takes up a whole run, and no part of it would do.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = (("assign", ASSIGN, 8), ("access", r"AKIA[A-Z0-9]+", 16), ("hex", r"[0-9a-f]+", 32))
+BASE = (("assign", ASSIGN, 8), ("access", r"AKIA[A-Z0-9]{12,}", 16), ("hex", r"[0-9a-f]{32,}", 32))
 KINDS = (*(kind for kind, _, _ in BASE), "entropy")
 
 #: Characters of candidate strings, and their least number in a row.
