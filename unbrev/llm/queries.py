@@ -18,6 +18,7 @@ from unbrev.llm import (
     near_text,
     ngram_ratio,
     phrases,
+    ranked_search,
     repeats,
     secrets,
     url_filter,
@@ -194,6 +195,44 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- 11: ranked search ------------------------------------------------------------
+
+
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    f"'[^{ranked_search.NO_TERM}]+')"
+)
+_SEARCH_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TERMS_SQL} AS ts FROM documents WHERE text IS NOT NULL
+), sizes AS (
+  SELECT rid, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0
+), total AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL
+), postings AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total
+), scored AS (
+  SELECT item_id, rid, sum(times * w * ((1000000000 * tf) //
+    (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // words)))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (rid), total GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored JOIN sizes USING (rid) WHERE score > 0
+) WHERE rank <= {ranked_search.TOP}
+"""
+
 # -- 12: secrets ------------------------------------------------------------------
 
 
@@ -314,12 +353,14 @@ RUN = {
     "op9_mixing": op9_mixing,
     "op5_url_filter": op5_url_filter,
     "op10_warc": op10_warc,
+    "op11_ranked_search": op11_ranked_search,
     "op12_secrets": op12_secrets,
     "op13_phrases": op13_phrases,
 }
 
 SQL = {
     "op5_url_filter": _URL_SQL,
+    "op11_ranked_search": _SEARCH_SQL,
     "op12_secrets": _SECRETS_SQL,
     "op13_phrases": _PHRASES_SQL,
 }
