@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.catalog import history, sessions
@@ -28,33 +28,70 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _in_files(rows: DataFrame, order: Column, bounds: list) -> DataFrame:
+    """The rows as a stream of several files, one a trigger, in rising ``order``.
+
+    ``bounds`` are the least values of the second, third, ... part.
+    """
+    spark, folder = rows.sparkSession, f"{_folder(rows.sparkSession)}/in"
+    edges = [None, *bounds, None]
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
+        kept = F.lit(True) if low is None else order >= F.lit(low)
+        kept = kept if high is None else kept & (order < F.lit(high))
+        rows.filter(kept).write.parquet(f"{folder}/part={number}")
+    # A trigger takes the files of one part at most.
+    return (
+        spark.readStream.schema(rows.schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true")
+        .parquet(folder)
+    )
+
+
+#: Turns of conversations that come as one file each; later ones share the last.
+TURN_FILES = 4
+
+
 def stream_session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _stream(spark, sf_dir, "conversations")
+    """Features of conversations that come turn by turn, over several triggers."""
+    st.use_state_store(spark)
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").coalesce(1)
+    turns = _in_files(given, F.coalesce("turn", F.lit(0)), list(range(1, TURN_FILES)))
     words = turns.select(
         F.col("conv_id").alias("session_id"),
         "turn",
         F.posexplode(tx.words_in(F.col("text"), P)).alias("p", "word"),
     ).select("session_id", (F.col("turn") * 1_000_000_000 + F.col("p")).alias("pos"), "word")
-    rows = st.stream_session_features(words, sessions.markers(spark), P, idle_ms=None)
+    # The table ends, so nothing need be forgotten.
+    rows = st.stream_session_features(words, sessions.markers(spark), P, keep_ms=None)
     folder = _folder(spark)
     sh.run_to_table(rows, f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select(
-        "session_id", "pos", "norm", "tick", F.round("recency", 6).alias("recency"), "register"
+        "session_id", "pos", "norm", "tick", F.round("recency", 6).alias("recency"), "register", "late"
     )
 
 
+#: A pick without an undo for so long is confirmed; events may come so much too late.
+CONFIRM_MS, DELAY = 6 * 3_600_000, "1 hour"
+
+
 def stream_pending_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of picks that come day by day, the last ones confirmed by the timer."""
+    st.use_state_store(spark)
     kind = (
         F.when(F.col("event_type") == "click", "pick")
         .when(F.col("event_type") == "error", "undo")
         .otherwise("type")
     )
-    events = _stream(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").cast("string").alias("user_id"), kind.alias("kind"),
-    )
+    given = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", kind.alias("kind")
+    ).coalesce(1)
+    low, high = given.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    seconds = F.coalesce(F.unix_seconds("ts"), F.lit(low))
+    bounds = [] if low is None else [low + (high - low) * k // 5 for k in range(1, 5)]
+    events = _in_files(given, seconds, bounds)
     folder = _folder(spark)
-    sh.run_to_table(st.stream_resolve_picks(events, idle_ms=None), f"{folder}/out", f"{folder}/state")
+    sh.run_to_table(st.stream_resolve_picks(events, CONFIRM_MS, DELAY), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -67,11 +104,16 @@ def stream_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "stream_session_features": sessions.SQL["session_features"],
-    "stream_pending_confirm": "SELECT * FROM ("
-    "SELECT event_id, user_id::VARCHAR AS user_id, CASE WHEN nxt = 'error' THEN 'reverted' ELSE 'confirmed' END AS status FROM ("
-    "SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) "
-    "WHERE event_type = 'click' AND nxt IS NOT NULL)",
+    "stream_session_features": "SELECT *, false AS late FROM (" + sessions.SQL["session_features"] + ")",
+    # The timer fires for picks whose time is past before the newest event less the delay.
+    "stream_pending_confirm": f"""
+SELECT event_id, user_id, CASE WHEN nxt = 'error' AND nms <= ms + {CONFIRM_MS} THEN 'reverted' ELSE 'confirmed' END AS status,
+  least(coalesce(nms, ms + {CONFIRM_MS}), ms + {CONFIRM_MS}) AS resolved_ms
+FROM (
+  SELECT *, lead(event_type) OVER w AS nxt, lead(ms) OVER w AS nms, max(ms) OVER () AS newest
+  FROM (SELECT event_id, ts, user_id::VARCHAR AS user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+) WHERE event_type = 'click' AND (nxt IS NOT NULL OR ms + {CONFIRM_MS} <= newest - 3600000)""",
     "stream_history_counts": history.SQL["history_counts"],
 }
 RUN = {name: globals()[name] for name in SQL}

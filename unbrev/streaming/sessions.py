@@ -1,18 +1,19 @@
 """Session features and pick outcomes on a stream.
 
-State is kept per session (or user).  Rows of one key within a micro-batch are
-put into order first, so the source's rate limit bounds what a task holds.
+Both keep their state per key in a state store (:func:`use_state_store`): single values
+and a map entry per word, so a batch reads and writes what its own rows touch and never a
+whole session.  Rows of one key within a micro-batch are put into order first, so the
+source's rate limit bounds what a task holds.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from unbrev.functions import scoring as sc
 from unbrev.functions import text as tx
@@ -20,60 +21,68 @@ from unbrev.profile import Profile
 from unbrev.settings import RECENCY_HALF_LIFE, TONE_HALF_LIFE
 
 IDLE_MS = 24 * 3_600_000
-# A word not used for this many half-lives has no measurable prior left, so it
-# leaves the state, which stays bounded however long a session lasts.
-FORGET_HALF_LIVES = 64
-
-_SESSION_STATE = (
-    "word_no BIGINT, tick BIGINT, score DOUBLE, mass DOUBLE, "
-    "norms ARRAY<STRING>, ticks ARRAY<BIGINT>"
-)
-_FEATURES = ["session_id", "pos", "norm", "tick", "recency", "tone_score", "tone_mass"]
-
-
-def _timeout(idle_ms: int | None) -> str:
-    if idle_ms is None:
-        return GroupStateTimeout.NoTimeout
-    return GroupStateTimeout.ProcessingTimeTimeout
-
-
-def _session_step(
-    recency_half_life: float, tone_half_life: float, idle_ms: int | None
-) -> Callable:
-    decay = 0.5 ** (1.0 / tone_half_life)
-    horizon = math.ceil(FORGET_HALF_LIVES * recency_half_life)
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        word_no, tick, score, mass, norms, ticks = (
-            state.get if state.exists else (0, 0, 0.0, 0.0, [], [])
-        )
-        last = dict(zip(norms, ticks))
-        words = pd.concat(list(rows)).sort_values("pos")
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> SparkSession:
+    """Have streams keep their state in RocksDB, which the processors here need.
+
+    A session-level option; queries that run already keep the store they began with.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    return spark
+
+
+# -- session features -----------------------------------------------------------------
+
+_FEATURES = ["session_id", "pos", "norm", "tick", "recency", "tone_score", "tone_mass", "late"]
+
+
+class _SessionTrack(StatefulProcessor):
+    """Recency and tone of one session.
+
+    ``clock`` holds the number of words and of plain words so far, the decayed tone sums
+    and the largest position; ``seen`` holds the tick of each word's last use.
+    """
+
+    def __init__(self, recency_half_life: float, tone_half_life: float, keep_ms: int | None) -> None:
+        self.half_life = recency_half_life
+        self.decay = 0.5 ** (1.0 / tone_half_life)
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        clock = "words BIGINT, tick BIGINT, score DOUBLE, mass DOUBLE, last BIGINT"
+        self.clock = handle.getValueState("clock", clock, self.keep_ms)
+        self.seen = handle.getMapState("seen", "norm STRING", "tick BIGINT", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        held = self.clock.get() if self.clock.exists() else None
+        words, tick, score, mass, last = held or (0, 0, 0.0, 0.0, None)
+        touched: dict[str, int | None] = {}
         out = []
-        for norm, plain, sign in zip(words["norm"], words["is_plain"], words["sign"]):
-            word_no += 1
-            score, mass = score * decay, mass * decay
+        for pos, norm, plain, sign in zip(batch["pos"], batch["norm"], batch["is_plain"], batch["sign"]):
+            words += 1
+            score, mass = score * self.decay, mass * self.decay
             if pd.notna(sign):
                 score, mass = score + sign, mass + 1.0
             prior = 0.0
             if plain:
-                if norm in last:
-                    prior = 0.5 ** ((tick - last[norm]) / recency_half_life)
+                if norm not in touched:
+                    found = self.seen.getValue((norm,))
+                    touched[norm] = None if found is None else found[0]
+                if touched[norm] is not None:
+                    prior = 0.5 ** ((tick - touched[norm]) / self.half_life)
                 tick += 1
-                last[norm] = tick
-            out.append((key[0], word_no, norm, tick, prior, score, mass))
-        if len(last) > 2 * horizon:
-            last = {w: t for w, t in last.items() if t > tick - horizon}
-        state.update((word_no, tick, score, mass, list(last), list(last.values())))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+                touched[norm] = tick
+            late = last is not None and pos < last
+            last = pos if last is None else max(last, pos)
+            out.append((key[0], words, norm, tick, prior, score, mass, late))
+        for norm, at in touched.items():
+            self.seen.updateValue((norm,), (at,))
+        self.clock.update((words, tick, score, mass, int(last)))
         yield pd.DataFrame(out, columns=_FEATURES)
 
-    return step
-
 
 def stream_session_features(
     words: DataFrame,
@@ -81,16 +90,26 @@ def stream_session_features(
     profile: Profile,
     recency_half_life: float = RECENCY_HALF_LIFE,
     tone_half_life: float = TONE_HALF_LIFE,
-    idle_ms: int | None = IDLE_MS,
+    keep_ms: int | None = IDLE_MS,
 ) -> DataFrame:
-    """Features of a streamed ``(session_id, pos, word)``, as the batch job
-    gives them.  A change of context is a change of ``session_id``; the state of
-    a session goes when it has been idle for ``idle_ms``.  Idle times keep a
-    query running for ever, so pass None with an ``availableNow`` trigger."""
+    """Features of a streamed ``(session_id, pos, word)``, as the batch job gives them.
+
+    Time is the number of words.  Within a micro-batch a session's words are taken by
+    ``pos``; batches are taken as they come.  A word that comes in a later batch than
+    words of a larger ``pos`` is ``late``: it is numbered where it arrives, as a word
+    typed now, and changes nothing that was given out.  A change of context is a change
+    of ``session_id``.
+
+    What a session has not touched for ``keep_ms`` of processing time leaves the state
+    word by word: a forgotten word counts as new, and a session whose last word is that
+    old begins anew.  With None nothing is ever forgotten.  Ages keep a query running, so
+    a query that is to end with its input (``availableNow``) needs None, or the option
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
     norm = tx.normalize(tx.strip(F.col("word")), profile)
     marks = markers.select(F.col("word").alias("mark"), F.col("sign").cast("double").alias("sign"))
     keyed = (
-        words.select("session_id", "pos", "word", norm.alias("norm"))
+        words.select("session_id", F.col("pos").cast("bigint").alias("pos"), "word", norm.alias("norm"))
         .withColumn("is_plain", (F.col("norm") != "") & tx.is_plain_word(F.col("norm"), profile))
         .withColumn("mark", tx.normalize(F.col("word"), profile))
         .join(marks, "mark", "left")
@@ -99,56 +118,93 @@ def stream_session_features(
     session_type = words.schema["session_id"].dataType.simpleString()
     return (
         keyed.groupBy("session_id")
-        .applyInPandasWithState(
-            _session_step(recency_half_life, tone_half_life, idle_ms),
+        .transformWithStateInPandas(
+            _SessionTrack(recency_half_life, tone_half_life, keep_ms),
             f"session_id {session_type}, pos BIGINT, norm STRING, tick BIGINT, recency DOUBLE, "
-            "tone_score DOUBLE, tone_mass DOUBLE",
-            _SESSION_STATE,
+            "tone_score DOUBLE, tone_mass DOUBLE, late BOOLEAN",
             "append",
-            _timeout(idle_ms),
+            "None" if keep_ms is None else "ProcessingTime",
         )
         .withColumn("register", sc.register(F.col("tone_score"), F.col("tone_mass")))
     )
 
 
-_OUTCOME = ["event_id", "user_id", "status"]
+# -- pick outcomes --------------------------------------------------------------------
+
+_OUTCOME = ["event_id", "user_id", "status", "resolved_ms"]
+
+
+def _millis(at: pd.Timestamp) -> int:
+    return at.value // 1_000_000
+
 
+class _PendingPick(StatefulProcessor):
+    """The pick of one user that waits for its outcome, with a timer for when none comes."""
 
-def _pick_step(idle_ms: int | None) -> Callable:
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState):
-        pending = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            # Nothing came after the pick: it was kept.
-            state.remove()
-            if pending is not None:
-                yield pd.DataFrame([(int(pending), key[0], "confirmed")], columns=_OUTCOME)
-            return
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def __init__(self, confirm_ms: int) -> None:
+        self.confirm_ms = confirm_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "event_id BIGINT, ms BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.pending.get() if self.pending.exists() else None
+        before = held
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         out = []
-        for event_id, kind in zip(events["event_id"], events["kind"]):
-            if pending is not None:
-                status = "reverted" if kind == "undo" else "confirmed"
-                out.append((int(pending), key[0], status))
-            pending = int(event_id) if kind == "pick" else None
-        if pending is not None:
-            state.update((pending,))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            state.remove()
+        for event_id, ts, kind in zip(events["event_id"], events["ts"], events["kind"]):
+            now = _millis(ts)
+            if held is not None and now < held[1]:
+                # Older than the pick that waits: it cannot be what came after it.
+                if kind == "pick":
+                    out.append((int(event_id), key[0], "confirmed", held[1]))
+                continue
+            if held is not None:
+                undone = kind == "undo" and now <= held[1] + self.confirm_ms
+                end = min(now, held[1] + self.confirm_ms)
+                out.append((held[0], key[0], "reverted" if undone else "confirmed", end))
+            held = (int(event_id), now) if kind == "pick" else None
+        if held != before:
+            if before is not None:
+                self.handle.deleteTimer(before[1] + self.confirm_ms)
+            if held is None:
+                self.pending.clear()
+            else:
+                self.pending.update(held)
+                self.handle.registerTimer(held[1] + self.confirm_ms)
         yield pd.DataFrame(out, columns=_OUTCOME)
 
-    return step
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, at = self.pending.get(), expiredTimerInfo.getExpiryTimeInMs()
+        self.pending.clear()
+        yield pd.DataFrame([(held[0], key[0], "confirmed", at)], columns=_OUTCOME)
 
 
-def stream_resolve_picks(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Outcomes ``(event_id, user_id, status)`` of streamed
-    ``(event_id, ts, user_id, kind)``; a pick that stays last is confirmed when
-    its user has been idle for ``idle_ms`` (see above)."""
-    return events.groupBy("user_id").applyInPandasWithState(
-        _pick_step(idle_ms),
-        "event_id BIGINT, user_id STRING, status STRING",
-        "event_id BIGINT",
-        "append",
-        _timeout(idle_ms),
+def stream_resolve_picks(
+    events: DataFrame, confirm_ms: int = IDLE_MS, delay: str = "0 seconds"
+) -> DataFrame:
+    """Outcomes ``(event_id, user_id, status, resolved_ms)`` of streamed
+    ``(event_id, ts, user_id, kind)``.
+
+    A user's next event decides about a pick: an undo within ``confirm_ms`` of it reverts
+    it, anything else confirms it.  If nothing comes, a timer in event time confirms it
+    when the watermark, ``delay`` behind the newest event of all users, is past
+    ``confirm_ms`` after the pick; no later undo changes that.  Results are the same
+    whatever the batches, as long as each user's events come in order of time.
+
+    Late rows: those behind the watermark are dropped.  Of those that are older than the
+    pick that waits, an undo is ignored, since what it undid has been decided, and a pick
+    is confirmed, since a newer one followed.
+    """
+    rows = events.select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "kind")
+    return (
+        rows.withWatermark("ts", delay)
+        .groupBy("user_id")
+        .transformWithStateInPandas(
+            _PendingPick(confirm_ms),
+            "event_id BIGINT, user_id STRING, status STRING, resolved_ms BIGINT",
+            "append",
+            "EventTime",
+        )
     )
