@@ -10,8 +10,9 @@ later chunk only, so every occurrence counts once.
 
 Only frequent phrases are wanted, and every part of one is frequent too.  So lengths are
 counted one after the other by 64-bit hash, each only where all its parts were frequent
-by a Bloom filter of fixed size.  The filters only save work: what passes is counted
-again by its words.
+by a Bloom filter of fixed size; what the filters let through too much fails the count.
+A phrase's count also has one of its places, the smallest by hash, and the task that
+finds that place again names the phrase.
 """
 
 from __future__ import annotations
@@ -189,6 +190,14 @@ def _known(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(rows: pa.Table, words: Words) -> np.ndarray:
+    """A hash of where each word stands: its chunk, whole, and its number in that."""
+    data, offsets = byte_buffer(rows.column("chunk"))
+    chunk = span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
+    first = np.searchsorted(words.text, words.text)
+    return mixed(chunk[words.text] * np.uint64(31) + (np.arange(len(words)) - first).astype(np.uint64))
+
+
 def _selected(words: Words, seed: np.ndarray, lengths: range, bloom: np.ndarray | None):
     """Length, hashes and mask of the phrases of these lengths whose parts, one word
     shorter than the first length, may all be frequent."""
@@ -205,57 +214,68 @@ def _selected(words: Words, seed: np.ndarray, lengths: range, bloom: np.ndarray
             yield n, hashes, maybe
 
 
-def _summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
-    keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, inverse, np.concatenate(times))
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["hash", "times"])
+def _summed(hashes: list[np.ndarray], times: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each hash: occurrences in all, and the smallest place."""
+    every, place = np.concatenate(hashes), np.concatenate(places)
+    order = np.lexsort((place, every))
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else order
+    sums = np.add.reduceat(np.concatenate(times)[order], first) if len(every) else order
+    return pa.RecordBatch.from_arrays(
+        [pa.array(every[first].view(np.int64)), pa.array(sums), pa.array(place[order][first].view(np.int64))],
+        ["hash", "times", "place"],
+    )
 
 
 def _count(lengths: range, bloom) -> Callable:
     most, at_once = HELD, READ_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, times, held = [], [], 0
+        hashes, times, places, held = [], [], [], 0
         for rows, words, seed, own in _read(batches, at_once):
             weight = rows.column("times").to_numpy()[words.text]
-            for _, found, maybe in _selected(words, seed, lengths, bloom.value if bloom else None):
+            place = _places(rows, words) ^ seed
+            for n, found, maybe in _selected(words, seed, lengths, bloom.value if bloom else None):
                 use = maybe & own
                 hashes.append(found[use])
                 times.append(weight[use])
+                places.append(place[use] + np.uint64(n))
                 held += len(hashes[-1])
             if held > most:
-                yield _summed(hashes, times)
-                hashes, times, held = [], [], 0
+                yield _summed(hashes, times, places)
+                hashes, times, places, held = [], [], [], 0
         if hashes:
-            yield _summed(hashes, times)
+            yield _summed(hashes, times, places)
 
     return count
 
 
 def frequent_hashes(dictionary: DataFrame, lengths: range, least: int, bloom=None) -> DataFrame:
-    """``(hash)`` of the phrases of these lengths with at least so many occurrences."""
-    counted = dictionary.mapInArrow(_count(lengths, bloom), "hash bigint, times bigint")
-    return counted.groupBy("hash").agg(F.sum("times").alias("f")).filter(F.col("f") >= least).select("hash")
+    """``(hash, f, place)`` of the phrases of these lengths with at least so many
+    occurrences."""
+    counted = dictionary.mapInArrow(_count(lengths, bloom), "hash bigint, times bigint, place bigint")
+    summed = counted.groupBy("hash").agg(F.sum("times").alias("f"), F.min("place").alias("place"))
+    return settle(summed.filter(F.col("f") >= least))
 
 
-def bloom_filter(hashes: DataFrame):
-    """A broadcast Bloom filter of ``(hash)``: ``2 ** BLOOM_BITS`` bits, at whatever size.
+def bloom_filter(rows: DataFrame, column: str = "hash"):
+    """A broadcast Bloom filter of a column of hashes: ``2 ** BLOOM_BITS`` bits, at
+    whatever size.
 
     Bits are joined in the tasks; the driver sees one number for every 64 of them.
     """
     mask = F.lit((1 << BLOOM_BITS) - 1).cast("bigint")
-    places = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))
+    places = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
     one = F.lit(1).cast("bigint")
-    rows = (
-        hashes.select(F.explode(places).alias("at"))
+    set_bits = (
+        rows.select(F.explode(places).alias("at"))
         .groupBy(F.shiftrightunsigned("at", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         .toArrow()
     )
     bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    bloom[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return hashes.sparkSession.sparkContext.broadcast(bloom)
+    bloom[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bloom)
 
 
 def _spelled(words: Words, first: np.ndarray, n: int) -> pa.Array:
@@ -271,28 +291,24 @@ def _spelled(words: Words, first: np.ndarray, n: int) -> pa.Array:
     return pa.array([t if p else re.sub("[ \t]+", " ", t) for t, p in zip(texts, plain)], pa.large_string())
 
 
-def _name(blooms) -> Callable:
+def _name(bloom) -> Callable:
     at_once = READ_BYTES
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, seed, own in _read(batches, at_once):
-            weight = rows.column("times").to_numpy()[words.text]
             langs = rows.column("lang").combine_chunks()
+            place = _places(rows, words) ^ seed
             for n, hashes in enumerate(words.phrases(seed, LONGEST), start=1):
-                bloom = blooms[min(n, 3) - 1].value
                 at = np.flatnonzero(own & (words.left >= n))
-                at = at[_known(bloom, hashes[at])]
+                at = at[_known(bloom.value, place[at] + np.uint64(n))]
                 if not len(at):
                     continue
-                _, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
-                sums = np.zeros(len(first), np.int64)
-                np.add.at(sums, inverse, weight[at])
                 named = pa.table(
                     {
-                        "lang": langs.take(pa.array(words.text[at[first]])),
-                        "phrase": _spelled(words, at[first], n).cast(pa.string()),
-                        "words": np.full(len(first), n, np.int32),
-                        "times": sums,
+                        "hash": hashes[at].view(np.int64),
+                        "lang": langs.take(pa.array(words.text[at])),
+                        "phrase": _spelled(words, at, n).cast(pa.string()),
+                        "words": np.full(len(at), n, np.int32),
                     }
                 )
                 yield from named.to_batches(max_chunksize=50_000)
@@ -303,13 +319,15 @@ def _name(blooms) -> Callable:
 def frequent_phrases(dictionary: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """``(lang, phrase, words, f)`` of all phrases of up to ``LONGEST`` words that occur
     at least ``least`` times in their language."""
-    blooms = [bloom_filter(frequent_hashes(dictionary, range(1, 2), least))]
-    blooms.append(bloom_filter(frequent_hashes(dictionary, range(2, 3), least, blooms[0])))
-    blooms.append(bloom_filter(frequent_hashes(dictionary, range(3, LONGEST + 1), least, blooms[1])))
-    named = dictionary.mapInArrow(_name(blooms), "lang string, phrase string, words int, times bigint")
-    return (
-        named.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
+    ones = frequent_hashes(dictionary, range(1, 2), least)
+    twos = frequent_hashes(dictionary, range(2, 3), least, bloom_filter(ones))
+    more = frequent_hashes(dictionary, range(3, LONGEST + 1), least, bloom_filter(twos))
+    counts = ones.unionAll(twos).unionAll(more)
+    named = dictionary.mapInArrow(
+        _name(bloom_filter(counts, "place")), "hash bigint, lang string, phrase string, words int"
     )
+    # The filter lets through a few more places, some of them of frequent phrases.
+    return counts.join(named.dropDuplicates(["hash"]), "hash").select("lang", "phrase", "words", "f")
 
 
 # -- scores --------------------------------------------------------------------------
