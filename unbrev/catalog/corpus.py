@@ -21,12 +21,17 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.token_counts(table(spark, sf_dir, "documents"), P, min_count=2)
 
 
-def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw ``(form, lemma, freq)`` rows: each word as spelt, by language."""
     raw = table(spark, sf_dir, "documents").select(
         "lang", F.explode(F.regexp_extract_all("text", F.lit(o.WORD), F.lit(0))).alias("form")
     )
     rows = raw.groupBy("form", "lang").agg(F.count(F.lit(1)).cast("double").alias("freq"))
-    built = lexicon.build_lexicon(rows.withColumn("lemma", F.concat("form", F.lit("-"), "lang")), P, 2.0)
+    return rows.withColumn("lemma", F.concat("form", F.lit("-"), "lang"))
+
+
+def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = lexicon.build_lexicon(raw_frequencies(spark, sf_dir), P, 2.0)
     return built.select("form", "lemma", "freq")
 
 
