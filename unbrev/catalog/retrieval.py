@@ -36,6 +36,12 @@ def _candidates(*sources: int) -> Run:
     return run
 
 
+def postings_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that the cap of a source trims, and by how many forms."""
+    keyed = po.posting_keys(base_lexicon(spark, sf_dir), P)
+    return po.trimmed_keys(keyed, Settings().per_source_cap)
+
+
 def static_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = rt.retrieval_inputs(shorthand_queries(spark, sf_dir), P)
     built = po.build_postings(base_lexicon(spark, sf_dir), P, wanted=rt.probes(inputs, P))
@@ -75,7 +81,19 @@ def _source_query(source: int) -> str:
     return o.with_(*o.lex(), *o.queries(), *extra) + o.source_sql(source)
 
 
+_KEY_LISTS = {
+    po.SKELETON: "[l.skel]",
+    po.SKELETON_PREFIX: _prefix_list("l.skel", 1),
+    po.FORM_PREFIX: _prefix_list("l.form", 3),
+    po.ENDING: f"list_filter([{_ENDINGS}], lambda e: e IS NOT NULL)",
+    po.SKELETON_DELETE: o.deletes("l.skel"),
+}
+
 SQL = {
+    "postings_trimmed": o.with_(*o.lex())
+    + f"SELECT kind, key, count(*) AS rows, count(*) - {o.CAP} AS trimmed FROM ("
+    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest({keys}) AS key FROM lex l" for kind, keys in _KEY_LISTS.items())
+    + f") GROUP BY kind, key HAVING count(*) > {o.CAP}",
     "postings_skeleton": _ranked_keys("[l.skel]"),
     "postings_skeleton_prefix": _ranked_keys(_prefix_list("l.skel", 1)),
     "postings_form_prefix": _ranked_keys(_prefix_list("l.form", 3)),
@@ -91,6 +109,7 @@ SQL = {
     "round(s_prefix, 6) AS s_prefix, round(s_edit, 6) AS s_edit, round(s_freq, 6) AS s_freq FROM sig",
 }
 RUN: dict[str, Run] = {
+    "postings_trimmed": postings_trimmed,
     "postings_skeleton": _postings(po.SKELETON),
     "postings_skeleton_prefix": _postings(po.SKELETON_PREFIX),
     "postings_form_prefix": _postings(po.FORM_PREFIX),

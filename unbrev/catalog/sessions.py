@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unbrev.catalog import oracle as o
-from unbrev.catalog.inputs import P, conversation_words, hour, shorthand, table, word_counts
+from unbrev.catalog.inputs import P, base_lexicon, conversation_words, hour, shorthand, table
 from unbrev.catalog.ranking import FLAT, LIMIT, _show
 from unbrev.plans import expand as ex
 from unbrev.plans import sessions as se
-from unbrev.plans.lexicon import lexicon_from_counts
 from unbrev.session import settle
 
-SESSION_LEXICON_MIN = 20
 # Words of the test texts that stand for polite and crude ones.
 MARKERS = (
     ("the", 1.0), ("and", 0.5), ("of", -1.0), ("in", -0.7), ("le", 1.0),
@@ -85,25 +83,17 @@ def session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking within conversations: each conversation's distinct words of its
-    last 20 words, typed as shorthand at its end, against a lexicon that lacks
-    rare words; recent and unknown words of the session take part."""
+    """Ranking within conversations: every plain word, typed as shorthand where it stands,
+    against the words before it and a lexicon of the documents; recent and unknown words
+    of the session take part."""
     ticked = settle(_ticked(spark, sf_dir))
-    ends = ticked.groupBy("session_id").agg(F.max("tick").alias("end"))
-    queries = (
-        ticked.filter("is_plain")
-        .join(ends, "session_id")
-        .filter(F.col("tick") > F.col("end") - 20)
-        .select(
-            F.concat_ws(" ", "session_id", "norm").alias("query_id"),
-            shorthand(F.col("norm")).alias("input"),
-            "session_id",
-            F.col("end").alias("tick"),
-        )
-        .distinct()
+    queries = ticked.filter("is_plain").select(
+        F.concat_ws(" ", "session_id", "tick", "norm").alias("query_id"),
+        shorthand(F.col("norm")).alias("input"),
+        "session_id",
+        (F.col("tick") - 1).alias("tick"),
     )
-    lex = lexicon_from_counts(word_counts(spark, sf_dir), SESSION_LEXICON_MIN)
-    known = ex.Knowledge(lex, session_words=ticked)
+    known = ex.Knowledge(settle(base_lexicon(spark, sf_dir)), session_words=ticked)
     return _show(ex.expand_tokens(queries, known, P, limit=LIMIT), *FLAT)
 
 
@@ -165,28 +155,28 @@ SQL = {
     "SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS step "
     "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
     "ranked_session": o.with_(
-        *o.lex(SESSION_LEXICON_MIN),
+        *o.lex(),
         *_WORDS,
-        ("ends", "SELECT session_id, max(tick) AS tick_end FROM ct GROUP BY 1"),
         (
             "qs",
-            f"SELECT DISTINCT session_id || ' ' || norm AS query_id, {o.shorthand('norm')} AS norm_input, "
-            f"{o.skel(o.shorthand('norm'))} AS skel, session_id, tick_end FROM ct JOIN ends USING (session_id) "
-            "WHERE is_plain AND tick > tick_end - 20",
+            f"SELECT session_id || ' ' || tick || ' ' || norm AS query_id, {o.shorthand('norm')} AS norm_input, "
+            f"{o.skel(o.shorthand('norm'))} AS skel, session_id, tick - 1 AS asked FROM ct WHERE is_plain",
         ),
         o.allowed_inputs("qs"),
         *o.candidates(),
+        ("uses", "SELECT t.session_id, t.norm, t.tick, w.word FROM ct t JOIN cw w USING (session_id, pos) WHERE is_plain"),
+        # Words of a session that the lexicon lacks, with each use's time until the next.
         (
-            "last_use",
-            "SELECT session_id, norm, max(tick) AS tick, arg_max(word, tick) AS display FROM "
-            "(SELECT t.*, w.word FROM ct t JOIN cw w USING (session_id, pos)) WHERE is_plain GROUP BY 1, 2",
+            "unknown_uses",
+            f"SELECT *, lead(tick) OVER (PARTITION BY session_id, norm ORDER BY tick) AS nxt, {o.skel('norm')} AS skel "
+            "FROM uses WHERE norm NOT IN (SELECT form FROM lex)",
         ),
         (
             "unknown",
-            f"SELECT q.query_id, q.norm_input, q.skel AS input_skel, u.norm, u.display, q.tick_end - u.tick AS age "
-            f"FROM qs q JOIN inp USING (norm_input) JOIN last_use u ON u.session_id = q.session_id "
-            f"AND left({o.skel('u.norm')}, 1) = left(q.skel, 1) AND {o.skel('u.norm')} <> '' "
-            "WHERE q.skel <> '' AND u.norm NOT IN (SELECT form FROM lex)",
+            "SELECT q.query_id, q.norm_input, q.skel AS input_skel, u.norm, u.word AS display, q.asked - u.tick AS age "
+            "FROM qs q JOIN inp USING (norm_input) JOIN unknown_uses u ON u.session_id = q.session_id "
+            "AND left(u.skel, 1) = left(q.skel, 1) AND u.skel <> '' AND u.tick <= q.asked AND (u.nxt IS NULL OR u.nxt > q.asked) "
+            f"WHERE q.skel <> '' AND q.asked - u.tick < {ex.MEMORY_TICKS}",
         ),
         (
             "all_pairs",
@@ -196,9 +186,9 @@ SQL = {
         (
             "rows",
             "SELECT q.query_id, q.norm_input, i.skel AS input_skel, c.form AS norm, l.skel AS form_skel, c.form, l.lemma, l.freq, c.source_ord, "
-            "coalesce(pow(0.5::DOUBLE, (q.tick_end - u.tick) / 80.0::DOUBLE), 0.0::DOUBLE) AS s_recency, 0 AS is_oov "
+            "coalesce(pow(0.5::DOUBLE, (q.asked - u.tick) / 80.0::DOUBLE), 0.0::DOUBLE) AS s_recency, 0 AS is_oov "
             "FROM qs q JOIN cand c USING (norm_input) JOIN inp i USING (norm_input) JOIN lex l ON l.form = c.form "
-            "LEFT JOIN last_use u ON u.session_id = q.session_id AND u.norm = c.form UNION ALL "
+            "ASOF LEFT JOIN uses u ON u.session_id = q.session_id AND u.norm = c.form AND u.tick <= q.asked UNION ALL "
             f"SELECT query_id, norm_input, input_skel, norm, {o.skel('norm')}, display, display, 0.0, 0, "
             "pow(0.5::DOUBLE, age / 80.0::DOUBLE), 1 FROM unknown",
         ),

@@ -18,6 +18,12 @@ ENDING = "ending"
 SKELETON_DELETE = "skel_delete"
 KINDS = (SKELETON, SKELETON_PREFIX, FORM_PREFIX, ENDING, SKELETON_DELETE)
 
+# Prefixes up to this length may belong to a large share of all forms; such keys are
+# ranked in slices first.
+SHORT_KEY = 2
+SLICES = 32
+
+
 def posting_keys(
     lexicon: DataFrame,
     profile: Profile,
@@ -48,18 +54,49 @@ def posting_keys(
     )
 
 
-def rank_postings(keyed: DataFrame, cap: int) -> DataFrame:
-    """Number the rows of each key, most frequent first, and keep ``cap``.
+def _place(*keys: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*by_frequency()))
+
+
+def widely_shared(key: str = "key") -> Column:
+    """Keys that a large share of any lexicon has: endings and very short prefixes."""
+    short = F.length(key) <= SHORT_KEY
+    return (F.col("kind") == ENDING) | (F.col("kind").isin(SKELETON_PREFIX, FORM_PREFIX) & short)
 
-    The cap is part of the retrieval's meaning.  With the settings of
-    :func:`unbrev.session.tune` each map task already cuts its own rows of a key
-    to the cap, so a short key that much of the lexicon shares sends at most
-    ``cap`` rows per task.
+
+def shortlist(keyed: DataFrame, cap: int) -> DataFrame:
+    """The rows of widely shared keys that can be among the first ``cap`` of their key.
+
+    Each key is cut into ``SLICES`` by hash and each slice to the cap, so no task sees all
+    rows of a key, and at most ``cap * SLICES`` of them are left for the ranking.
     """
-    rank = F.row_number().over(
-        Window.partitionBy("kind", "key").orderBy(*by_frequency())
+    return (
+        keyed.withColumn("_slice", F.pmod(F.xxhash64("form", "lemma", "form_id"), F.lit(SLICES)))
+        .withColumn("_nth", _place("kind", "key", "_slice"))
+        .filter(F.col("_nth") <= cap)
+        .drop("_slice", "_nth")
     )
-    return keyed.withColumn("bucket_rank", rank).filter(F.col("bucket_rank") <= cap)
+
+
+def rank_postings(keyed: DataFrame, cap: int | None) -> DataFrame:
+    """Number the rows of each key, most frequent first, and keep ``cap`` (None: all).
+
+    The cap is part of the retrieval's meaning (:func:`trimmed_keys` tells what it
+    trims).  With the settings of :func:`unbrev.session.tune` each map task already cuts
+    its own rows of a key to the cap; keys that much of the lexicon shares are shortened
+    slice by slice before they are ranked.
+    """
+    if cap is None:
+        return keyed.withColumn("bucket_rank", _place("kind", "key"))
+    shared = widely_shared()
+    few = shortlist(keyed.filter(shared), cap).unionByName(keyed.filter(~shared))
+    return few.withColumn("bucket_rank", _place("kind", "key")).filter(F.col("bucket_rank") <= cap)
+
+
+def trimmed_keys(keyed: DataFrame, cap: int) -> DataFrame:
+    """``(kind, key, rows, trimmed)`` of the keys that have more rows than the cap."""
+    sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.filter(F.col("rows") > cap).withColumn("trimmed", F.col("rows") - cap)
 
 
 def build_postings(

@@ -121,13 +121,14 @@ def candidate_hits(
     shuffle.
     """
     fuzzy = F.col("source_ord") == FUZZY
-    hits = (
-        sliced_join(
-            probed, postings, ["kind", "key"], ["norm_input"], slice_rows=slice_rows
-        )
-        .drop("kind", "key")
-        .filter(~fuzzy | (F.col("bucket_rank") <= settings.fuzzy_bucket_cap))
-        .withColumn("_fuzzy", fuzzy)
+    found = sliced_join(
+        probed, postings, ["kind", "key"], ["norm_input"], slice_rows=slice_rows
+    ).drop("kind", "key")
+    if settings.per_source_cap is None:
+        parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return found.drop("bucket_rank").repartition(parts, "norm_input")
+    hits = found.filter(~fuzzy | (F.col("bucket_rank") <= settings.fuzzy_bucket_cap)).withColumn(
+        "_fuzzy", fuzzy
     )
     rank = F.dense_rank().over(
         Window.partitionBy("norm_input", "_fuzzy").orderBy(*by_frequency())

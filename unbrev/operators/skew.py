@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unbrev.session import settle
+
 # Joined rows that one task should make at most.
 SLICE_ROWS = 1_000_000
 
@@ -44,10 +46,17 @@ def sliced_join(
     slice.  Results equal those of a plain join.  What a slice makes is about
     ``slice_rows`` rows, whichever side they come from, as long as no value of the
     ``spread`` columns is hot itself; the size-based skew handling of the adaptive
-    planner does not see output.  How the list of hot keys is joined is up to the
-    planner; nothing bounds their number.
+    planner does not see output.
+
+    Both sides are settled, since counting keys and joining would each work them out
+    again; counting reads the keys only.  There are at most as many hot keys as
+    ``slice_rows`` goes into the joined rows; their list is settled too, so the planner
+    joins it knowing its size, and where there are none nothing is joined.
     """
-    hot = hot_keys(left, right, on, slice_rows)
+    left, right = settle(left), settle(right)
+    hot = settle(hot_keys(left, right, on, slice_rows))
+    if hot.isEmpty():
+        return left.join(right, list(on), how)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     left_sliced = (
         left.join(hot, list(on), "left")

@@ -7,7 +7,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,10 @@ from unbrev.operators.skew import SLICE_ROWS, sliced_join
 from unbrev.plans.history import form_popularity
 from unbrev.plans.lexicon import paradigm_forms
 from unbrev.plans.sessions import last_seen_as_of
+from unbrev.plans.signals import with_government
 from unbrev.profile import Profile
 from unbrev.session import settle
-from unbrev.settings import SHORTCUT_SCORE, Settings
+from unbrev.settings import RECENCY_HALF_LIFE, SESSION_MEMORY, SHORTCUT_SCORE, Settings
 
 OOV_SOURCE, SHORTCUT_SOURCE = "session", "shortcut"
 
@@ -39,7 +41,9 @@ class Knowledge:
     :func:`unbrev.plans.sessions.session_ticks` table.
     ``static`` may hold the :func:`static_candidates` of the same queries, if
     several rankings share them.  ``context_scorer`` replaces the pair statistics: it receives the candidate
-    rows and returns them with a column ``s_context`` (0 is neutral).
+    rows and returns them with a column ``s_context`` (0 is neutral); see
+    :func:`unbrev.plans.signals.batch_scorer`.  ``government (prep, case)`` replaces the
+    profile's rules.
     """
 
     lexicon: DataFrame
@@ -51,6 +55,7 @@ class Knowledge:
     paradigms: DataFrame | None = None
     static: DataFrame | None = None
     context_scorer: Callable[[DataFrame], DataFrame] | None = None
+    government: DataFrame | None = None
 
 
 def prepare_queries(queries: DataFrame, profile: Profile) -> DataFrame:
@@ -98,9 +103,12 @@ def candidate_signals(
     rows = sliced_join(
         prepared.drop("input_skel"), static, ["norm_input"], ["query_id"], slice_rows=slice_rows
     )
-    rows = rows.withColumn(
-        "s_morph", tx.case_agreement(F.col("prev_word"), F.col("tags"), profile)
-    )
+    if known.government is not None:
+        rows = with_government(rows, known.government)
+    else:
+        rows = rows.withColumn(
+            "s_morph", tx.case_agreement(F.col("prev_word"), F.col("tags"), profile)
+        )
     rows = _context_signal(rows, known, profile)
     rows = _user_signal(rows, known, prepared)
     return _recency_signal(rows, known, prepared)
@@ -177,6 +185,44 @@ def _shortcut_rows(
     )
 
 
+MEMORY_TICKS = math.ceil(SESSION_MEMORY * RECENCY_HALF_LIFE)
+
+
+def words_in_memory(
+    asks: DataFrame,
+    uses: DataFrame,
+    on: Sequence[str],
+    memory: int = MEMORY_TICKS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Each ask with the words that its session used in the last ``memory`` ticks.
+
+    ``asks`` has ``session_id, tick`` and ``uses`` has ``session_id, norm, tick``, both
+    with the columns ``on`` that must agree.  An interval join in bins of ``memory``
+    ticks: a word is paired with later asks of its own bin and of the next one only, once
+    each, so pairs grow with the length of a session and not with its square.
+    """
+    bin_of = F.floor(F.col("tick") / memory)
+    again = Window.partitionBy("session_id", "norm").orderBy("_bin")
+    used = (
+        uses.groupBy("session_id", "norm", *[c for c in on if c != "session_id"], bin_of.alias("_bin"))
+        .agg(F.min("tick").alias("_from"), F.max("tick").alias("_to"))
+        .withColumn("_later", F.struct(F.lead("_bin").over(again).alias("bin"), F.lead("_from").over(again).alias("at")))
+        .withColumn("_own", F.col("_bin"))
+        .withColumn("_bin", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    )
+    here = (F.col("_own") == F.col("_bin")) & (F.col("_from") <= F.col("tick"))
+    newer = (F.col("_later.bin") == F.col("_bin")) & (F.col("_later.at") <= F.col("tick"))
+    before = (F.col("_own") < F.col("_bin")) & (F.col("_to") > F.col("tick") - memory)
+    return (
+        sliced_join(
+            asks.withColumn("_bin", bin_of), used, [*on, "_bin"], ["norm_input", "tick"], slice_rows=slice_rows
+        )
+        .filter(here | (before & ~F.coalesce(newer, F.lit(False))))
+        .drop("_bin", "_own", "_from", "_to", "_later")
+    )
+
+
 def session_candidates(
     prepared: DataFrame,
     known: Knowledge,
@@ -186,9 +232,10 @@ def session_candidates(
 ) -> DataFrame:
     """Candidates from words of the session that the lexicon does not have.
 
-    A word is tried when its skeleton shares the first letter with the input's
-    and the skeleton lengths can be within the cutoff.  Each (session, input,
-    tick) is tried once, against each word once.
+    A word is tried when its skeleton shares the first letter with the input's,
+    the skeleton lengths can be within the cutoff, and its last use is not longer ago
+    than ``MEMORY_TICKS``.  Each (session, input, tick) is tried once, against each word
+    once.
     """
     keys = ["session_id", "norm"]
     in_lexicon = known.lexicon.select(
@@ -201,9 +248,10 @@ def session_candidates(
         .withColumn("form_skel", skel)
         .filter(F.col("form_skel") != "")
     )
-    vocabulary = oov.groupBy(*keys, "form_skel").agg(F.min("tick").alias("first_tick"))
-    words = vocabulary.select(
-        "*",
+    words = oov.select(
+        *keys,
+        "tick",
+        "form_skel",
         F.left("form_skel", F.lit(1)).alias("_head"),
         F.length("form_skel").alias("_cons"),
     )
@@ -230,12 +278,11 @@ def session_candidates(
         F.explode(F.sequence(F.greatest(size - reach, F.lit(1)), size + reach)).alias("_cons"),
     )
     compare = ds.compare_udf(profile, settings)
+    paired = words_in_memory(
+        probes, words, ["session_id", "_head", "_cons"], slice_rows=slice_rows
+    )
     near = (
-        sliced_join(
-            probes, words, ["session_id", "_head", "_cons"], ["norm_input", "tick"],
-            slice_rows=slice_rows,
-        )
-        .filter(F.col("first_tick") <= F.col("tick"))
+        paired.withColumn("form_skel", skel)
         .withColumn("_c", compare("norm_input", "norm", "input_skel", "form_skel"))
         .filter(F.col("_c.distance") != ds.TOO_FAR)
         .select("*", "_c.*")

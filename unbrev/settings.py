@@ -12,6 +12,8 @@ COST_UNIT = 20
 SHORTCUT_SCORE = 1000.0
 MAX_PMI = 4.0
 RECENCY_HALF_LIFE = 80.0
+# Half-lives after which a session's word is no candidate any more.
+SESSION_MEMORY = 16
 TONE_HALF_LIFE = 12.0
 REGISTER_THRESHOLD = 0.25
 REGISTER_MIN_MASS = 0.5
@@ -50,7 +52,7 @@ class Weights:
 @dataclass(frozen=True)
 class Settings:
     min_input_len: int = 3
-    per_source_cap: int = 2000
+    per_source_cap: int | None = 2000  # None: no cap
     cutoff_base: int = 20  # twentieths
     cutoff_per_char: int = 6  # twentieths per input character
     typo_tolerance: bool = True
@@ -61,5 +63,5 @@ class Settings:
     costs: EditCosts = field(default_factory=EditCosts)
 
     @property
-    def fuzzy_bucket_cap(self) -> int:
-        return -(-self.per_source_cap // 4)
+    def fuzzy_bucket_cap(self) -> int | None:
+        return None if self.per_source_cap is None else -(-self.per_source_cap // 4)
