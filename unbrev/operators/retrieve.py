@@ -111,6 +111,7 @@ def candidate_hits(
     postings: DataFrame,
     settings: Settings = Settings(),
     slice_rows: int = SLICE_ROWS,
+    settled: bool = False,
 ) -> DataFrame:
     """Input/form rows of all sources; a form may come from several.
 
@@ -122,7 +123,7 @@ def candidate_hits(
     """
     fuzzy = F.col("source_ord") == FUZZY
     found = sliced_join(
-        probed, postings, ["kind", "key"], ["norm_input"], slice_rows=slice_rows
+        probed, postings, ["kind", "key"], ["norm_input"], slice_rows=slice_rows, left_settled=settled
     ).drop("kind", "key")
     if settings.per_source_cap is None:
         parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -151,11 +152,13 @@ def candidates(
     settings: Settings = Settings(),
     sources: tuple[int, ...] = ALL_SOURCES,
     slice_rows: int = SLICE_ROWS,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct candidates of each input with the first source that has them."""
-    hits = candidate_hits(
-        probes(inputs, profile, settings, sources), postings, settings, slice_rows
-    )
+    """Distinct candidates of each input with the first source that has them.
+
+    ``probed`` may hold the settled :func:`probes` of the inputs."""
+    asked = probes(inputs, profile, settings, sources) if probed is None else probed
+    hits = candidate_hits(asked, postings, settings, slice_rows, probed is not None)
     return hits.groupBy("norm_input", *LEXICON_COLUMNS).agg(
         F.min("source_ord").alias("source_ord")
     )
@@ -167,10 +170,11 @@ def scored_candidates(
     profile: Profile,
     settings: Settings = Settings(),
     slice_rows: int = SLICE_ROWS,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates within the distance cutoff, with the signals that depend on
     the input and the form only."""
-    found = candidates(inputs, postings, profile, settings, slice_rows=slice_rows)
+    found = candidates(inputs, postings, profile, settings, slice_rows=slice_rows, probed=probed)
     norm = tx.normalize(F.col("form"), profile)
     sized = found.select(
         "*",

@@ -38,6 +38,7 @@ def sliced_join(
     spread: Sequence[str],
     how: str = "inner",
     slice_rows: int = SLICE_ROWS,
+    left_settled: bool = False,
 ) -> DataFrame:
     """Equi-join for a many-rows ``left`` and few-rows-per-key ``right``.
 
@@ -48,15 +49,16 @@ def sliced_join(
     ``spread`` columns is hot itself; the size-based skew handling of the adaptive
     planner does not see output.
 
-    Both sides are settled, since counting keys and joining would each work them out
-    again; counting reads the keys only.  There are at most as many hot keys as
+    Both sides are settled (the left one unless it is so already), since counting keys and
+    joining would each work them out again; counting reads the keys only.  There are at most as many hot keys as
     ``slice_rows`` goes into the joined rows; their list is settled too, so the planner
-    joins it knowing its size, and where there are none nothing is joined.
+    joins it knowing its size, and where there are none nothing is joined.  The join
+    itself deals both sides out by key, however small they are, for what it makes is large.
     """
-    left, right = settle(left), settle(right)
+    left, right = left if left_settled else settle(left), settle(right)
     hot = settle(hot_keys(left, right, on, slice_rows))
     if hot.isEmpty():
-        return left.join(right, list(on), how)
+        return left.join(right.hint("merge"), list(on), how)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     left_sliced = (
         left.join(hot, list(on), "left")
@@ -68,4 +70,4 @@ def sliced_join(
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
-    return left_sliced.join(right_sliced, [*on, "_slice"], how).drop("_slice")
+    return left_sliced.join(right_sliced.hint("merge"), [*on, "_slice"], how).drop("_slice")

@@ -84,11 +84,12 @@ def static_candidates(
     if known.static is not None:
         return known.static
     inputs = rt.retrieval_inputs(prepared, profile, settings, "norm_input")
+    # Looked up by the postings and by the join.
+    probed = settle(rt.probes(inputs, profile, settings))
     postings = known.postings
     if postings is None:
-        wanted = rt.probes(inputs, profile, settings)
-        postings = build_postings(known.lexicon, profile, settings, wanted=wanted)
-    return rt.scored_candidates(inputs, postings, profile, settings, slice_rows)
+        postings = build_postings(known.lexicon, profile, settings, wanted=probed)
+    return rt.scored_candidates(inputs, postings, profile, settings, slice_rows, probed)
 
 
 def candidate_signals(
