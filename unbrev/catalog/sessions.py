@@ -83,15 +83,16 @@ def session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking within conversations: every plain word, typed as shorthand where it stands,
-    against the words before it and a lexicon of the documents; recent and unknown words
-    of the session take part."""
+    """Ranking within conversations: every word of every conversation, typed as shorthand
+    where it stands last, against the words before it and a lexicon of the documents;
+    recent and unknown words of the session take part."""
     ticked = settle(_ticked(spark, sf_dir))
-    queries = ticked.filter("is_plain").select(
-        F.concat_ws(" ", "session_id", "tick", "norm").alias("query_id"),
+    asked = ticked.filter("is_plain").groupBy("session_id", "norm").agg((F.max("tick") - 1).alias("tick"))
+    queries = asked.select(
+        F.concat_ws(" ", "session_id", "norm").alias("query_id"),
         shorthand(F.col("norm")).alias("input"),
         "session_id",
-        (F.col("tick") - 1).alias("tick"),
+        "tick",
     )
     known = ex.Knowledge(settle(base_lexicon(spark, sf_dir)), session_words=ticked)
     return _show(ex.expand_tokens(queries, known, P, limit=LIMIT), *FLAT)
@@ -154,13 +155,17 @@ SQL = {
     "session_numbering": "SELECT event_id, user_id, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM ("
     "SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS step "
     "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
-    "ranked_session": o.with_(
+}
+# Too slow for whole tables, since it works out every distance cell by cell; tests hold
+# the query against it on a small table.
+SESSION_SQL = (
+    o.with_(
         *o.lex(),
         *_WORDS,
         (
             "qs",
-            f"SELECT session_id || ' ' || tick || ' ' || norm AS query_id, {o.shorthand('norm')} AS norm_input, "
-            f"{o.skel(o.shorthand('norm'))} AS skel, session_id, tick - 1 AS asked FROM ct WHERE is_plain",
+            f"SELECT session_id || ' ' || norm AS query_id, {o.shorthand('norm')} AS norm_input, "
+            f"{o.skel(o.shorthand('norm'))} AS skel, session_id, max(tick) - 1 AS asked FROM ct WHERE is_plain GROUP BY session_id, norm",
         ),
         o.allowed_inputs("qs"),
         *o.candidates(),
@@ -211,6 +216,6 @@ SQL = {
     )
     + "SELECT query_id, r AS rank, form, lemma, round(score, 6) AS score, CASE WHEN is_oov = 1 THEN 'session' ELSE "
     "['exact','prefix','short_prefix','completion','ending','fuzzy1'][source_ord + 1] END AS source FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY query_id ORDER BY score DESC, is_oov, source_ord, freq DESC, form) AS r FROM firsts) WHERE r <= 5",
-}
-RUN = {name: globals()[name] for name in SQL}
+    "(PARTITION BY query_id ORDER BY score DESC, is_oov, source_ord, freq DESC, form) AS r FROM firsts) WHERE r <= 5"
+)
+RUN = {name: globals()[name] for name in SQL} | {"ranked_session": ranked_session}
