@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unbrev.catalog import builds, corpus, evaluation, gated, history, lexicons, ranking, retrieval, sessions, streams
+from unbrev.catalog import artifacts, builds, corpus, evaluation, gated, history, lexicons, ranking, retrieval, sessions, streams
 
-_PARTS = (corpus, lexicons, retrieval, ranking, sessions, history, evaluation, streams, builds, gated)
+_PARTS = (corpus, lexicons, retrieval, ranking, sessions, history, evaluation, streams, builds, gated, artifacts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
