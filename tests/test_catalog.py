@@ -17,7 +17,9 @@ SOME = (
     "token_counts", "bigram_top", "candidates_union", "ranked_flat", "session_features",
     "recency_as_of", "earned_exceptions", "expand_forms", "noisy_pairs", "stream_pending_confirm",
 )
-NAMES = list(queries()) if os.environ.get("UNBREV_ALL") else SOME
+NAMES = list(oracle_sql()) if os.environ.get("UNBREV_ALL") else SOME
+# Its SQL does not end on whole tables; test_gated.py holds it against the SQL on some rows.
+WITHOUT_SQL = {"ranked_session"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -29,4 +31,4 @@ def test_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL and set(oracle_sql()) <= set(queries())

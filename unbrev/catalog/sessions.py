@@ -130,6 +130,13 @@ _REGISTER = (
     "CASE WHEN round(tone_mass, 9) < 0.5 THEN 'neutral' WHEN round(tone_score / tone_mass, 9) > 0.25 THEN 'polite' "
     "WHEN round(tone_score / tone_mass, 9) < -0.25 THEN 'crude' ELSE 'neutral' END"
 )
+# What letters and consonants that one word has more of cost at least.
+_LETTERS = "length(form) - length(norm_input)"
+_CONSONANTS = f"length({o.skel('form')}) - length({o.skel('norm_input')})"
+_LEAST_COST = (
+    f"greatest(22 * -({_LETTERS}), 5 * ({_LETTERS}), 10 * abs({_CONSONANTS}), "
+    f"10 * ({_CONSONANTS}) + 5 * (({_LETTERS}) - ({_CONSONANTS})))"
+)
 _SEEN = (
     "seen",
     "SELECT *, lag(tick) OVER (PARTITION BY session_id, norm ORDER BY tick) AS last_tick FROM ct WHERE is_plain",
@@ -185,7 +192,8 @@ SESSION_SQL = (
         ),
         (
             "all_pairs",
-            "SELECT norm_input, form FROM cand UNION SELECT norm_input, norm FROM unknown",
+            "SELECT norm_input, form FROM (SELECT norm_input, form FROM cand UNION SELECT norm_input, norm FROM unknown) "
+            f"WHERE {_LEAST_COST} <= {o.S.cutoff_base} + {o.S.cutoff_per_char} * length(norm_input)",
         ),
         *o.distances("all_pairs"),
         (
