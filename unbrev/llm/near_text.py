@@ -14,9 +14,9 @@ all pairs of a list that are still in different components.
 
 Recall: every pair that shares a list and is similar enough is found but for chance.  A
 pair at a similarity of exactly 0.80 agrees on fewer than ``MATCHES`` coordinates, and may
-then share no list, with a probability of 3.3e-5 (binomial); above 0.80 less often.  Half
-of the counted coordinates, which is asked for before the full sets are compared, is
-missed by such a pair with less than 1e-39.
+then share no list, with a probability of 3.3e-5 (binomial); above 0.80 less often.  Two
+thirds of the counted coordinates, which are asked for before the full sets are compared,
+are missed by such a pair with a probability of 2e-10.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ from unbrev.session import settle
 COORDINATES = 32
 MATCHES = 16
 #: Further coordinates, of 8 bits each, that pairs of a list are counted on, and the
-#: threshold: the same half, so that the posted ones alone decide; 307 are expected.
+#: threshold: 307 are expected of a pair that is similar enough, 6.5 standard deviations more.
 COUNTED = 384
-COUNTED_MATCHES = 192
+COUNTED_MATCHES = 256
 SHINGLE_WORDS = 5
 #: Similarity of linked documents, in hundredths.
 SIMILARITY = 80
@@ -108,7 +108,8 @@ def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> D
 def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """``(key, rep)``: the postings that can lead to a pair.
 
-    Of each set its rarest coordinate-value pairs, without those that nobody shares.
+    Of each set its rarest coordinate-value pairs, without those that nobody shares: they
+    come first of all, so their number is enough to rank the others.
     """
     spread = "rep bigint, h1 bigint, key bigint"
 
@@ -127,12 +128,14 @@ def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
     posted = classes.select("rep", "h1", "sig").mapInArrow(post, spread)
     lengths = posted.groupBy("key").agg(F.count(F.lit(1)).alias("_length"))
+    shared = posted.join(lengths.filter("_length > 1").hint("merge"), "key")
     # A document with several rows has several sets.
-    rank = F.row_number().over(Window.partitionBy("rep", "h1").orderBy("_length", "key"))
+    own = Window.partitionBy("rep", "h1")
+    rank = F.row_number().over(own.orderBy("_length", "key"))
+    unshared = coordinates - F.count(F.lit(1)).over(own)
     return (
-        posted.join(lengths.hint("merge"), "key")
-        .withColumn("_rank", rank)
-        .filter((F.col("_rank") <= coordinates - matches + 1) & (F.col("_length") > 1))
+        shared.withColumns({"_rank": rank, "_unshared": unshared})
+        .filter(F.col("_rank") + F.col("_unshared") <= coordinates - matches + 1)
         .select("key", "rep")
     )
 
