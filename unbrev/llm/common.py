@@ -245,17 +245,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # -- pairs within groups, in blocks -----------------------------------------
 
 
-def in_blocks(rows: DataFrame, key: str, spread: str, block_rows: int) -> DataFrame:
+def in_blocks(
+    rows: DataFrame,
+    key: str,
+    spread: str,
+    block_rows: int,
+    weight: str | None = None,
+    block_weight: int = 1,
+) -> DataFrame:
     """Deal the rows of every key out to pairs of blocks.
 
     A key with more than ``block_rows`` rows is cut into blocks by the hash of
     ``spread``; each row goes to every pair ``(_lo, _hi)`` of blocks that has its own
     block ``_own`` in it.  Any two rows of a key meet in some group ``(key, _lo,
     _hi)``, and no group has many more than two blocks of rows, however hot the key.
-    Rows come sorted, groups whole within a partition.
+    With ``weight``, a number column, blocks are also held to about ``block_weight`` of it
+    in sum.  Rows come sorted, groups whole within a partition.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / block_rows).cast("int")
+    heavy = F.sum(weight) / block_weight if weight else F.lit(0.0)
+    sizes = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"), heavy.alias("_heavy"))
+        .filter("_n > 1")
+    )
+    blocks = F.least(F.ceil(F.greatest(F.col("_n") / block_rows, "_heavy")), F.col("_n")).cast("int")
     own = F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
     return (
         rows.join(sizes, key)
@@ -263,7 +276,7 @@ def in_blocks(rows: DataFrame, key: str, spread: str, block_rows: int) -> DataFr
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
-        .drop("_n", "_blocks", "_other")
+        .drop("_n", "_heavy", "_blocks", "_other")
         .repartition(key, "_lo", "_hi")
         .sortWithinPartitions(key, "_lo", "_hi")
     )

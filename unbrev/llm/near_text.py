@@ -10,7 +10,8 @@ confirmed on the full shingle sets.
 Links matter only between documents that are not connected yet.  First each document
 is checked against the smallest one of its lists, then against the one that agrees with
 it most, which connects large groups with a few checks a member; the last round checks
-all pairs of a list that are still in different components.
+all pairs of a list that are still in different components, inside the tasks where the
+blocks of the list meet, which hand on nothing but links that connect.
 
 Recall: every pair that shares a list and is similar enough is found but for chance.  A
 pair at a similarity of exactly 0.80 agrees on fewer than ``MATCHES`` coordinates, and may
@@ -54,7 +55,9 @@ COUNTED_MATCHES = 256
 SHINGLE_WORDS = 5
 #: Similarity of linked documents, in hundredths.
 SIMILARITY = 80
+#: Rows of a block, and shingles of a block where full sets are compared.
 BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1_000_000
 #: Rounds of checks against the best partner before all remaining pairs.
 BEST_ROUNDS = 1
 
@@ -150,9 +153,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
                 right, to = shingle_sets(*byte_buffer(part.column("text_b")), words)
                 good = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
-                    x, y = left[at[i] : at[i + 1]], right[to[i] : to[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)
+                    good[i] = _similar(left[at[i] : at[i + 1]], right[to[i] : to[i + 1]], similarity)
                 chosen = pa.array(good)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a").filter(chosen), part.column("b").filter(chosen)], ["a", "b"]
@@ -191,55 +192,150 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _crossing(lists: DataFrame, block_rows: int, best: bool) -> DataFrame:
-    """Pairs of different components that share a list and agree on enough of the
-    counted coordinates, from ``lists (key, rep, component, fine, keys)``.  A pair comes
-    from the first list that both are in, so once, whatever they share.
+def _members(rows: pa.Table, start: int, stop: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the two blocks that a group brings together; one entry for a block
+    with itself."""
+    own = rows.column("_own").to_numpy()[start:stop]
+    lo, hi = (rows.column(c)[start].as_py() for c in ("_lo", "_hi"))
+    left, right = start + np.flatnonzero(own == lo), start + np.flatnonzero(own == hi)
+    return [(left, right)] if lo == hi else [(left, right), (right, left)]
 
-    With ``best`` only the partner that agrees most, for each document and block.
+
+def _best_partners(lists: DataFrame, block_rows: int) -> DataFrame:
+    """``(a, b)``: for each document and block of a list the document of another
+    component that agrees most on the counted coordinates, if it agrees on enough, from
+    ``lists (key, rep, component, fine)``.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in group_runs(batches, ["key", "_lo", "_hi"]):
             fine = fixed_binary(rows.column("fine"), np.uint8, COUNTED)
-            rep, comp, own, lo, hi = (
-                rows.column(c).to_numpy() for c in ("rep", "component", "_own", "_lo", "_hi")
-            )
-            keys = rows.column("keys")
+            rep, comp = (rows.column(c).to_numpy() for c in ("rep", "component"))
             found: set[tuple[int, int]] = set()
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                left = start + np.flatnonzero(own[start:stop] == lo[start])
-                right = start + np.flatnonzero(own[start:stop] == hi[start])
-                sides = [(left, right)] if lo[start] == hi[start] else [(left, right), (right, left)]
-                for mine, others in sides if best else sides[:1]:
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for mine, others in _members(rows, start, stop):
                     for i in mine:
                         js = others[(comp[others] != comp[i]) & (rep[others] != rep[i])]
                         if not len(js):
                             continue
                         agree = (fine[js] == fine[i]).sum(axis=1)
-                        enough = agree >= COUNTED_MATCHES
-                        js, agree = js[enough], agree[enough]
-                        if best and len(js):
-                            js = js[np.lexsort((rep[js], -agree))[:1]]
-                        elif len(js):
-                            mine_keys = set(keys[int(i)].as_py())
-                            here = rows.column("key")[int(start)].as_py()
-                            js = [j for j in js if min(mine_keys & set(keys[int(j)].as_py())) == here]
-                        found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in js)
+                        best = np.lexsort((rep[js], -agree))[0]
+                        if agree[best] >= COUNTED_MATCHES:
+                            j = js[best]
+                            found.add((max(rep[i], rep[j]), min(rep[i], rep[j])))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     dealt = in_blocks(lists, "key", "rep", block_rows)
     return (
-        dealt.select("key", "rep", "component", "fine", "keys", "_own", "_lo", "_hi")
+        dealt.select("key", "rep", "component", "fine", "_own", "_lo", "_hi")
         .mapInArrow(meet, "a bigint, b bigint")
         .distinct()
     )
 
 
+def _pairs_in(rows: pa.Table, start: int, stop: int, fine: np.ndarray) -> np.ndarray:
+    """Rows ``(i, j)`` of a group: pairs of different components that agree on enough of
+    the counted coordinates and share no earlier list, so that a pair comes from one list
+    only, whatever it shares."""
+    rep, comp = (rows.column(c).to_numpy() for c in ("rep", "component"))
+    here = rows.column("key")[start].as_py()
+    earlier: dict[int, set[int]] = {}
+
+    def before(i: int) -> set[int]:
+        if i not in earlier:
+            earlier[i] = {key for key in rows.column("keys")[i].as_py() if key < here}
+        return earlier[i]
+
+    found = []
+    mine, others = _members(rows, start, stop)[0]
+    for i in mine.tolist():
+        js = others[(comp[others] != comp[i]) & (rep[others] != rep[i])]
+        js = js[(fine[js] == fine[i]).sum(axis=1) >= COUNTED_MATCHES]
+        found += [(i, j) for j in js.tolist() if before(i).isdisjoint(before(j))]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _with_partners(dealt: DataFrame) -> DataFrame:
+    """The dealt rows that have a partner in their group to be compared in full."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in group_runs(batches, ["key", "_lo", "_hi"]):
+            fine = fixed_binary(rows.column("fine"), np.uint8, COUNTED)
+            chosen = np.zeros(rows.num_rows, bool)
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                chosen[_pairs_in(rows, start, stop, fine).ravel()] = True
+            yield from rows.filter(pa.array(chosen)).to_batches()
+
+    return dealt.mapInArrow(choose, dealt.schema)
+
+
+def _links_in_blocks(rows: DataFrame, similarity: int) -> DataFrame:
+    """``(a, b)``: links found by comparing full sets inside the groups of ``rows (key,
+    rep, component, fine, keys, _own, _lo, _hi, values)``.
+
+    The pairs of a group never leave the task: those that agree most are compared first,
+    those that links of the group connect already not at all, and what comes out has
+    fewer rows than the group.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in group_runs(batches, ["key", "_lo", "_hi"]):
+            fine = fixed_binary(table.column("fine"), np.uint8, COUNTED)
+            rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
+            values = table.column("values")
+            links: list[tuple[int, int]] = []
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                pairs = _pairs_in(table, start, stop, fine)
+                agree = (fine[pairs[:, 0]] == fine[pairs[:, 1]]).sum(axis=1)
+                sets: dict[int, np.ndarray] = {}
+                parent: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while (up := parent.get(c, c)) != c:
+                        parent[c] = parent.get(up, up)
+                        c = up
+                    return c
+
+                for i, j in pairs[np.argsort(-agree, kind="stable")].tolist():
+                    x, y = root(int(comp[i])), root(int(comp[j]))
+                    if x == y:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = np.frombuffer(values[k].as_py(), np.uint64)
+                    if _similar(sets[i], sets[j], similarity):
+                        parent[x] = y
+                        links.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(rep, values)``: the sorted shingle hashes of ``(rep, text)`` as binaries."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, first = shingle_sets(*byte_buffer(part.column("text")), words)
+                each = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rep"), pa.array(each, pa.binary())], ["rep", "values"]
+                )
+
+    return texts.select("rep", "text").mapInArrow(hashed, "rep bigint, values binary")
+
+
 def _mixed_lists(lists: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """``key, rep, component, fine, keys`` of the lists that hold several components;
-    ``keys`` has all lists of the document."""
+    """``key, rep, component, fine, n_shingles, keys`` of the lists that hold several
+    components; ``keys`` has all lists of the document."""
     tagged = lists.join(_placed(classes.select("rep"), components(linked)), "rep")
     mixed_keys = (
         tagged.groupBy("key")
@@ -250,9 +346,9 @@ def _mixed_lists(lists: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
     own = lists.groupBy("rep").agg(F.collect_set("key").alias("keys"))
     return (
         tagged.join(mixed_keys, "key", "left_semi")
-        .join(classes.select("rep", "fine").hint("merge"), "rep")
+        .join(classes.select("rep", "fine", "n_shingles").hint("merge"), "rep")
         .join(own.hint("merge"), "rep")
-        .select("key", "rep", "component", "fine", "keys")
+        .select("key", "rep", "component", "fine", "n_shingles", "keys")
     )
 
 
@@ -295,17 +391,27 @@ def near_duplicates(
         .distinct()
     )
     near = settle(_agreeing(stars, classes).distinct())
-    linked = settle(confirm(near, _texts(docs, near), words, similarity))
+    linked = settle(confirm(near, _texts(docs, _both(near)), words, similarity))
 
-    # Then each document against what agrees with it most, and at last all pairs of a
-    # list whose documents are in different components even then.
+    # Round 2: each document against what agrees with it most.
     tried = near
-    for best in (*[True] * BEST_ROUNDS, False):
+    for _ in range(BEST_ROUNDS):
         rest = _mixed_lists(lists, classes, linked)
-        crossing = _crossing(rest, block_rows, best)
-        crossing = settle(crossing.join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        more = settle(confirm(crossing, _texts(docs, crossing), words, similarity))
-        linked, tried = linked.unionByName(more), tried.unionByName(crossing)
+        fresh = settle(_best_partners(rest, block_rows).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        more = settle(confirm(fresh, _texts(docs, _both(fresh)), words, similarity))
+        linked, tried = linked.unionByName(more), tried.unionByName(fresh)
+
+    # At last all pairs of a list whose documents are in different components even then,
+    # in the blocks where they meet.  Only sets of documents that have such a pair travel.
+    rest = _mixed_lists(lists, classes, linked)
+    dealt = in_blocks(rest, "key", "rep", block_rows, "n_shingles", BLOCK_SHINGLES).select(
+        "key", "rep", "component", "fine", "keys", "_own", "_lo", "_hi"
+    )
+    open_rows = settle(_with_partners(dealt))
+    sets = _sets(_texts(docs, open_rows.select("rep")), words)
+    full = open_rows.join(sets.hint("merge"), "rep").repartition("key", "_lo", "_hi")
+    more = _links_in_blocks(full.sortWithinPartitions("key", "_lo", "_hi"), similarity)
+    linked = linked.unionByName(settle(more))
 
     # A document with several rows joins the classes of all of them.
     owned = (
@@ -345,12 +451,16 @@ def _placed(reps: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(rep, text)`` of the documents in the pairs.
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(rep, text)`` of the documents ``wanted (rep)``.
 
     A Bloom filter of fixed size keeps most other texts out of the shuffle.
     """
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    wanted = settle(wanted.distinct())
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").withColumn(
         "_key", F.col("rep").cast("string")
     )
