@@ -48,6 +48,24 @@ def crc_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def packed(docs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and one struct ``row`` of all other columns of ``docs``, so that none of
+    these clashes with a name that an operator adds."""
+    others = [F.col(_quoted(c)) for c in docs.columns if c not in keys]
+    return docs.select(*map(_quoted, keys), F.struct(*others or [F.lit(0).alias("none")]).alias("row"))
+
+
+def unpacked(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """The columns ``names`` that :func:`packed` has put away, in this order."""
+    return rows.select(
+        *[F.col(_quoted(c)) if c in keys else F.col(f"row.{_quoted(c)}").alias(c) for c in names]
+    )
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 # -- texts as byte buffers -------------------------------------------------
 
 

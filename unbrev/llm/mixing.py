@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unbrev.llm.common import SEPARATOR_CLASS
+from unbrev.llm.common import SEPARATOR_CLASS, packed, unpacked
 from unbrev.session import settle
 
 #: Topics: initial letters of words that vote for them.
@@ -68,8 +68,7 @@ def rake(cells: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int =
     exactly afterwards, the others as closely as the rounds allow.  Cells without
     tokens keep what their values give.
     """
-    total = F.sum("tokens").over(Window.partitionBy("_all"))
-    out = cells.withColumn("_all", F.lit(1)).withColumn("_total", total).drop("_all")
+    out = cells.withColumn("_total", cells.agg(F.sum("tokens")).scalar())
     for name, power in targets.items():
         own = Window.partitionBy(f"_{name}")
         share = F.sum("tokens").over(own) / F.col("_total")
@@ -142,3 +141,10 @@ def mix(
     return placed.join(weighed, ["_source", "_lang", "_topic"]).withColumn(
         "kept", uniform(F.col("doc_id")) < F.col("probability")
     )
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with all their columns and no others,
+    whatever their names; ``options`` are those of :func:`mix`."""
+    keys = ("doc_id", "text", "source", "lang")
+    return unpacked(mix(packed(docs, *keys), **options).filter("kept"), docs.columns, *keys)

@@ -29,7 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from unbrev.llm.common import byte_buffer, group_runs, mixed, prefix_hash, slices, span_hash
+from unbrev.llm.common import (
+    byte_buffer,
+    group_runs,
+    mixed,
+    packed,
+    prefix_hash,
+    slices,
+    span_hash,
+    unpacked,
+)
 from unbrev.llm.url_filter import bloom_filter, possible_hits
 from unbrev.session import settle
 
@@ -613,40 +622,38 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     bytes goes whole.  ``n_chars``, where there is such a column, is counted anew for
     texts that changed; all other columns stay.  Null and empty texts stay as they are.
     """
-    fields = docs.schema.fields
+    keys = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
     tagged = with_tag(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).filter(
         "doc_id is not null"
     )
     classes = settle(text_classes(tagged))
     spans = repeated_spans(tagged, classes, span)
-    cuts = classes.join(spans, "tag", "left").select(
-        F.col("tag").alias("_tag"), F.col("doc").alias("_doc"), F.col("spans").alias("_spans")
-    )
+    cuts = classes.join(spans, "tag", "left").select("tag", "doc", "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     tag = F.xxhash64(text)
-    rows = docs.withColumn("_tag", F.when(tag == 0, 1).otherwise(tag)).join(
-        cuts.hint("merge"), "_tag", "left"
-    )
-    copy = (F.col("doc_id") > F.col("_doc")) & (F.octet_length(text) >= span)
-    first = F.col("doc_id") == F.col("_doc")
+    held = packed(docs, *keys)
+    rows = held.withColumn("tag", F.when(tag == 0, 1).otherwise(tag)).join(cuts.hint("merge"), "tag", "left")
+    copy = (F.col("doc_id") > F.col("doc")) & (F.octet_length(text) >= span)
+    first = F.col("doc_id") == F.col("doc")
     rows = rows.filter(~F.coalesce(copy, F.lit(False))).withColumn(
-        "_spans", F.when(F.coalesce(first, F.lit(False)), F.col("_spans"))
+        "spans", F.when(F.coalesce(first, F.lit(False)), F.col("spans"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, stay = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans")):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans")):
                 gone = _union(spans.as_py()) if text else []
                 left = _remaining(text.encode(), gone).decode(errors="ignore") if gone else text
                 texts.append(left)
                 sizes.append(len(left) if gone else None)
                 stay.append(not gone or left != "")
-            columns = {f.name: batch.column(f.name) for f in fields}
+            columns = {c: batch.column(c) for c in [*keys, "row"]}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 fresh = pa.array(sizes, pa.int64()).cast(columns["n_chars"].type)
                 columns["n_chars"] = pc.coalesce(fresh, columns["n_chars"])
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stay, pa.bool_()))
 
-    return rows.select(*[f.name for f in fields], "_spans").mapInArrow(cut, T.StructType(fields))
+    left = rows.select(*keys, "row", "spans").mapInArrow(cut, held.schema)
+    return unpacked(left, docs.columns, *keys)
